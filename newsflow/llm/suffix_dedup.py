@@ -5,7 +5,8 @@
    same offset. About 2/W of all positions are anchors, and only they are suffix starts of the sparse array.
 2. Contexts. What matters of an anchor is its context: up to LEAST-K bytes before and LEAST bytes from it. Equal
    (anchor, context) hashes are counted with map-side sums. A context seen twice is repeated as a whole; one
-   of its copies stands for all, so groups of thousands of copies cost one entry and never meet in one task.
+   of its copies stands for all, so groups of thousands of copies cost one entry and never meet in one task. The HOT_KEYS
+   most frequent contexts (if in OFTEN texts at least) do not even pass the join back to their texts: a map finds them.
 3. Suffix array. Where an anchor has different contexts, one entry for each goes to the shard of the anchor.
    A shard sorts its entries by the right context, takes common prefixes of neighbours, and scans them with a
    stack: every interval of the array is a node of the common-prefix tree. Nodes keep their occurrences in left-
@@ -38,6 +39,8 @@ U = np.uint64
 LEAST, K = 400, 32
 #: Different contexts of one anchor that one task holds.
 GROUP = 100_000
+#: Copies from which a context is one of the hot ones, and the most hot ones (two numbers each) that a task is given.
+OFTEN, HOT_KEYS = 500, 50_000
 #: Entries of a shard that are sorted together.
 SHARD = 40_000
 PIECE = 2 << 20
@@ -276,11 +279,31 @@ def _window_task(least: int, k: int):
     return run
 
 
+def _hot_task(keys: np.ndarray, least: int, k: int):
+    """Spans of the anchors whose (anchor, context) is in the sorted keys, merged along each text."""
+    names = [x.split()[0] for x in REACH.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k1, k2, pos, anchor, context = (batch.column(c).to_numpy() for c in ("k1", "k2", "pos", "anchor", "context"))
+            key = T.pair(anchor.view(U), context.view(U))
+            hit = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
+            k1, k2, pos = k1[hit], k2[hit], pos[hit]
+            if len(pos):
+                # A run goes on while the next context of the same text touches it.
+                new = np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (pos[1:] < pos[:-1]) | (pos[1:] - (least - k) > pos[:-1] + least)))
+                first = np.flatnonzero(new)
+                last = np.concatenate((first[1:], [len(pos)])) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[first], k2[first], pos[first] - (least - k), pos[last] + least)], names)
+
+    return run
+
+
 def _key_columns(text: str, doc_id: str):
     return [F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-1)).alias("k1"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k2"), F.coalesce(F.col(text), F.lit("")).alias("text")]
 
 
-def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, k: int = K, group: int = GROUP) -> DataFrame:
+def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, k: int = K, group: int = GROUP, often: int = OFTEN) -> DataFrame:
     """Per row key (k1, k2) the spans of bytes that repeats cover, not merged; keys without any are absent."""
     small_batches(docs.sparkSession)
     rows = docs.select(*_key_columns(text, doc_id))
@@ -297,9 +320,16 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
     twice = windows.groupBy("anchor", "shift", "win").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     hot = windows.join(twice, ["anchor", "shift", "win"]).groupBy("k1", "k2", "pos").agg(F.max("shift").alias("l"), (least - F.min("shift")).alias("r"))
     hot = hot.select("k1", "k2", (F.col("pos") - F.col("l")).alias("first"), (F.col("pos") + F.col("r")).alias("last"))
-    whole = found.join(contexts.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi")
+    # Contexts of very many copies are few: their keys go to the map that merges their spans, all others through a join.
+    often = contexts.where(F.col("n") >= often).select("n").orderBy(F.desc("n")).limit(HOT_KEYS + 1).agg(F.count("*").alias("rows"), F.min("n").alias("n")).first()
+    bound = 2**62 if not often["rows"] else often["n"] if often["rows"] <= HOT_KEYS else often["n"] + 1
+    whole = found.join(contexts.where((F.col("n") > 1) & (F.col("n") < bound)).select("anchor", "context"), ["anchor", "context"], "left_semi")
     whole = whole.select("k1", "k2", (F.col("pos") - (least - k)).alias("first"), (F.col("pos") + least).alias("last"))
     all_ = single.unionByName(whole)
+    got = contexts.where(F.col("n") >= bound).select("anchor", "context").toArrow()
+    if got.num_rows:
+        keys = np.sort(T.pair(*(got.column(c).to_numpy().view(U) for c in ("anchor", "context"))))
+        all_ = all_.unionByName(found.mapInArrow(_hot_task(keys, least, k), REACH))
     if not entries.where("hot").isEmpty():
         all_ = all_.unionByName(hot)
     return all_.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
