@@ -65,7 +65,7 @@ def load(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
     for name, sql in VIEWS.items():
         found[name.removesuffix("_v")] = df = spark.sql(sql)
         df.createOrReplaceTempView(name)
-    return SimpleNamespace(**found, spark=spark)
+    return SimpleNamespace(**found, spark=spark, sf_dir=sf_dir)
 
 
 def with_views(sql: str) -> str:

@@ -85,9 +85,9 @@ def has_alias(text: Column, alias: str) -> Column:
 
 
 def truncate(c: Column | str, limit: int = 400, end: str = "…") -> Column:
-    """Cut at the last space within the limit, without trailing punctuation."""
+    """Cut before the last word that begins within the limit, without trailing punctuation."""
     text = clean(c)
-    cut = F.regexp_replace(F.regexp_replace(F.substring(text, 1, limit - len(end)), " [^ ]*$", ""), "[.,;: ]+$", "")
+    cut = F.regexp_replace(F.regexp_replace(F.rtrim(F.substring(text, 1, limit - len(end))), " [^ ]*$", ""), "[.,;: ]+$", "")
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(cut, F.lit(end)))
 
 

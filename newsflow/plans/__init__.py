@@ -1 +1,3 @@
+"""The named queries; importing any module of this package fills the whole catalogue."""
 
+from . import catalog, exchange  # noqa: F401

@@ -236,7 +236,7 @@ query("slugify", "SELECT id, coalesce(nullif(regexp_replace(regexp_replace(regex
 query("fallback_summary", "WITH s AS (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)) AS p FROM documents) SELECT doc_id, substr(regexp_replace(array_to_string(list_slice(p, 1, 2), ' '), '^[\"'' ]+|[\"'' ]+$', '', 'g'), 1, 450) AS summary FROM s")(
     lambda v: v.documents.select("doc_id", tx.first_sentences("text").alias("summary")))
 _SQ = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
-query("truncate_summary", f"SELECT doc_id, CASE WHEN length({_SQ}) <= 400 THEN {_SQ} ELSE regexp_replace(regexp_replace(substr({_SQ}, 1, 399), ' [^ ]*$', ''), '[.,;: ]+$', '') || '…' END AS t FROM documents")(lambda v: v.documents.select("doc_id", tx.truncate("text").alias("t")))
+query("truncate_summary", f"SELECT doc_id, CASE WHEN length({_SQ}) <= 400 THEN {_SQ} ELSE regexp_replace(regexp_replace(rtrim(substr({_SQ}, 1, 399)), ' [^ ]*$', ''), '[.,;: ]+$', '') || '…' END AS t FROM documents")(lambda v: v.documents.select("doc_id", tx.truncate("text").alias("t")))
 query("mask_token", "SELECT id, CASE WHEN trim(url) = '' THEN '' WHEN length(trim(url)) <= 10 THEN '***' ELSE substr(trim(url), 1, 6) || '...' || right(trim(url), 4) END AS m FROM articles_v")(lambda v: v.articles.select("id", tx.mask("url").alias("m")))
 query("batch_id", "SELECT source, substr(sha256(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id)), 1, 16) AS batch FROM articles_v WHERE status = 'approved' GROUP BY source")(
     lambda v: v.articles.where("status = 'approved'").groupBy("source").agg(F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda i: i.cast("string")), ","), 256), 1, 16).alias("batch")))
@@ -246,8 +246,6 @@ query("classify_news_type", "SELECT id, " + "CASE " + " ".join(f"WHEN contains(l
 _TEXT = "lower(title || ' ' || summary)"
 query("classify_topic", "SELECT id, CASE " + " ".join(f"WHEN category = '{k}' THEN '{x}'" for k, x in tp.BY_CATEGORY.items()) + " " + " ".join("WHEN " + " OR ".join(f"contains({_TEXT}, '{w}')" for w in ws.split("|")) + f" THEN '{t}'" for t, ws in tp.KEYWORDS.items()) + " ELSE coalesce(nullif(category, ''), 'Khác') END AS t FROM articles_v")(
     lambda v: v.articles.select("id", tp.classify_topic("title", "summary", "category").alias("t")))
-query("photo_caption", "SELECT id, concat_ws(chr(10), id || '. ' || trim(regexp_replace(title, '\\s+', ' ', 'g')), 'Nguồn: ' || coalesce(nullif(trim(source), ''), 'Không rõ'), url) AS caption FROM articles_v WHERE regexp_matches(url, '^https?://[^/]+')")(
-    lambda v: v.articles.where(F.col("url").rlike("^https?://[^/]+")).select("id", F.concat_ws("\n", F.concat(F.col("id").cast("string"), F.lit(". "), tx.clean("title")), F.concat(F.lit("Nguồn: "), F.coalesce(F.nullif(F.trim("source"), F.lit("")), F.lit("Không rõ"))), "url").alias("caption")))
 
 # Search and chat --------------------------------------------------------------------------------------------------------
 _WINDOW = f"(SELECT *, row_number() OVER (ORDER BY {RECENT}) AS w FROM articles_v WHERE {PUBLIC} QUALIFY w <= 250)"
