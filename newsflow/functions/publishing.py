@@ -163,3 +163,11 @@ def error_class(code: Column | str, message: Column | str) -> Column:
     for name, rule in rules[1:]:
         chain = chain.when(rule, name)
     return chain.otherwise("other")
+
+
+def thumbnail_score(width: Column | str, height: Column | str) -> Column:
+    """How well an image of this size fills the card's picture area; NULL without a size. The best of several is a max_by."""
+    w, h = col(width).cast("double"), col(height).cast("double")
+    upscale = F.greatest(F.lit(float(WIDTH)) / w, F.lit(float(HEIGHT)) / h, F.lit(0.01))
+    misfit = F.abs(w / h - F.lit(WIDTH / HEIGHT)) / F.lit(WIDTH / HEIGHT)
+    return F.when((w > 0) & (h > 0), F.lit(1.0) / upscale + F.least(w * h / F.lit(float(WIDTH * HEIGHT)), F.lit(2.0)) * 0.18 - misfit * 0.08)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import topics
-from ..functions.text import blank, filled, like, matches, normalize
+from ..functions.text import blank, clean, filled, like, matches, normalize
 
 UNSET_ORDER = 2147483647
 DATES = {
@@ -209,3 +209,55 @@ def upsert(cms: DataFrame, rows: DataFrame, now: str) -> DataFrame:
     return old.unionByName(new)
 
 
+#: What Python's strip() takes off ASCII texts, summary sources that a forced run replaces, the least summary.
+STRIP = " \t\n\r\x0b\f\x1c\x1d\x1e\x1f"
+UPGRADEABLE = ("fallback", "missing_content", "pending")
+MIN_SUMMARY = 30
+
+
+def edit_content(df: DataFrame, edits: DataFrame, now: str) -> DataFrame:
+    """Articles with the edits of their id: texts stripped, a blank source is PNews, the caption goes unless the article was posted.
+
+    An edit with a blank title or an order that is no whole number changes nothing; `edit_error` says which. Edits hold one row an id.
+    """
+    text = ("source", "title", "url", "published_at", "summary", "content_topic", "category")
+    strip = lambda c: F.btrim(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(STRIP))
+    new = edits.select("id", *(strip(c).alias(f"n_{c}") for c in (*text, "client_order")), F.lit(True).alias("asked"))
+    number = F.when(F.col("n_client_order") == "", 0).when(F.col("n_client_order").rlike(r"^[+-]?[0-9]{1,9}$"), F.greatest(F.col("n_client_order").try_cast("int"), F.lit(0)))
+    rows = df.join(new, "id", "left").withColumn("number", number)
+    rows = rows.withColumn("edit_error", F.when(F.col("asked"), F.when(F.col("n_title") == "", "title").when(F.col("number").isNull(), "client_order").otherwise("")).otherwise(""))
+    hit = F.col("asked").isNotNull() & (F.col("edit_error") == "")
+    value = {c: F.col(f"n_{c}") for c in text} | {"source": F.coalesce(filled("n_source"), F.lit("PNews")), "client_order": F.col("number"), "updated_at": F.lit(now)}
+    value = {c: F.when(hit, v).otherwise(F.col(c)) for c, v in value.items()}
+    value["facebook_caption"] = F.when(hit & (F.coalesce("facebook_posted", F.lit(0)) != 1), "").otherwise(F.col("facebook_caption"))
+    return rows.withColumns(value).select(*df.columns, "edit_error")
+
+
+def enrich_plan(df: DataFrame, cache: DataFrame, contents: DataFrame, budget: int | None = None, force: bool = False, provider: str = "fallback") -> DataFrame:
+    """What a summary run does with each article (id, url, summary, summary_source): keep, cache, generate, or pending beyond the budget.
+
+    Articles are taken in id order. A url that was summarised in this run is cached for its later articles; an article without
+    content is asked again each time and ends as missing_content. `contents` and `cache` hold one row a url. The budget is
+    the only global count: a top-N of the ids to generate, never a window over all rows.
+    """
+    weak = lambda c: F.lit(force) & F.coalesce(F.col(c), F.lit("")).isin(*UPGRADEABLE)
+    known = cache.select("url", F.coalesce("summary_source", F.lit("cache")).alias("cached"), F.lit(True).alias("in_cache"))
+    rows = df.select("id", "url", "summary", "summary_source").join(known, "url", "left").join(contents.select("url", F.lit(True).alias("content")), "url", "left")
+    kept = (F.length(clean("summary")) >= MIN_SUMMARY) & ~weak("summary_source")
+    rows = rows.withColumn("action", F.when(kept, "keep").when(F.col("in_cache").isNotNull() & ~weak("cached"), "cache").otherwise("generate"))
+    again = F.col("content").isNotNull() & ~F.lit(force and provider in UPGRADEABLE)
+    asked = rows.where("action = 'generate'")
+    first = asked.where(again).groupBy("url").agg(F.min("id").alias("first_id"))
+    calls = asked.where(~again).select("id").union(first.select("first_id"))
+    rows = rows.join(first, "url", "left")
+    own = F.when((F.col("action") == "generate") & again, F.col("first_id")).otherwise(F.col("id"))
+    rows = rows.withColumn("call", own)
+    within = F.lit(True)
+    if budget is not None:
+        rows = rows.join(calls.orderBy("id").limit(budget).select(F.col("id").alias("call"), F.lit(True).alias("paid")), "call", "left")
+        within = F.col("paid").isNotNull()
+    action = F.when(F.col("action") != "generate", F.col("action")).when(~within, "pending").when(F.col("call") < F.col("id"), "cache").otherwise("generate")
+    source = F.coalesce(filled("summary_source"), F.when(F.col("plan") == "keep", "crawler").otherwise("pending"))
+    made = F.when(F.col("content").isNull(), "missing_content").otherwise(F.lit(provider))
+    final = F.when(F.col("plan").isin("keep", "pending"), source).when(F.col("action") == "cache", F.col("cached")).otherwise(made)
+    return rows.withColumn("plan", action).select("id", F.col("plan").alias("action"), final.alias("summary_source"))

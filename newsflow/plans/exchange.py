@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import dates as dt
 from ..functions import publishing as pb
 from ..functions import text as tx
+from ..operators import articles as ar
+from ..operators import extraction as ex
 from ..operators import publication as pub
 from ..sources import files
 from ..streaming import events as ev
@@ -189,3 +191,40 @@ query("partition_by_topic", f"WITH k AS (SELECT *, coalesce(nullif(content_topic
 query("stream_window_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS events, CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE) AS total FROM events GROUP BY 1, 2")(
     lambda v: ev.run_to_table(ev.window_counts(ev.file_stream(v.spark, v.sf_dir, "events"))).drop("users_about")
 )
+
+# Edits, summary runs, image sizes, pages ----------------------------------------------------------------------------------
+_NOW = "2024-02-10 10:00:00"
+#: Edits of two articles in three: every third of them has a blank title, orders are whole numbers, signs and words.
+_EDITS = """SELECT ord AS id, concat('  ', source, ' ') AS source, CASE WHEN ord % 9 = 0 THEN ' ' ELSE concat(' ', title, chr(10)) END AS title, url, published_at, summary, content_topic, category,
+ CASE CAST(ord % 5 AS INT) WHEN 0 THEN '' WHEN 1 THEN '-3' WHEN 2 THEN 'x' ELSE CAST(ord % 50 AS STRING) END AS client_order FROM incoming_v"""
+_CAPTIONS = "SELECT a.*, concat('caption ', CAST(id AS STRING)) AS facebook_caption FROM articles_v a"
+_EDITED = ("title", "url", "published_at", "summary", "content_topic", "category")
+_STRIP = lambda c: f"trim(e.{c}, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(28), chr(29), chr(30), chr(31)))"
+_OK = "e.id IS NOT NULL AND " + _STRIP("title") + " <> '' AND regexp_full_match(e.client_order, '([+-]?[0-9]{1,9})?')"
+query("content_edit", f"""WITH e AS ({_EDITS}), a AS ({_CAPTIONS}) SELECT a.id, {', '.join(f'CASE WHEN {_OK} THEN {_STRIP(c)} ELSE a.{c} END AS {c}' for c in _EDITED)},
+ CASE WHEN {_OK} THEN coalesce(nullif({_STRIP('source')}, ''), 'PNews') ELSE a.source END AS source, CASE WHEN {_OK} THEN greatest(coalesce(try_cast(e.client_order AS INT), 0), 0) ELSE a.client_order END AS client_order,
+ CASE WHEN {_OK} THEN '{_NOW}' ELSE a.updated_at END AS updated_at, CASE WHEN {_OK} AND a.facebook_posted <> 1 THEN '' ELSE a.facebook_caption END AS facebook_caption,
+ CASE WHEN e.id IS NULL OR ({_OK}) THEN '' WHEN {_STRIP('title')} = '' THEN 'title' ELSE 'client_order' END AS edit_error FROM a LEFT JOIN e ON a.id = e.id""")(
+    lambda v: ar.edit_content(v.spark.sql(_CAPTIONS), v.spark.sql(_EDITS), _NOW).select("id", *_EDITED, "source", "client_order", "updated_at", "facebook_caption", "edit_error"))
+
+BUDGET = 40
+_CONTENTS = "SELECT url FROM articles_v WHERE url <> '' GROUP BY url HAVING min(id) % 13 <> 0"
+_CLEAN_SUMMARY = _clean("a.summary")
+query("enrich_plan", f"""WITH t AS ({_CONTENTS}), r AS (SELECT a.id, a.url, a.summary_source, c.summary_source AS cached, c.url IS NOT NULL AS in_cache, t.url IS NOT NULL AS content, length({_CLEAN_SUMMARY}) >= 30 AS ok
+ FROM articles_v a LEFT JOIN summary_cache_v c ON a.url = c.url LEFT JOIN t ON a.url = t.url),
+ m AS (SELECT id, min(id) OVER (PARTITION BY CASE WHEN content THEN url ELSE CAST(id AS STRING) END) AS f FROM r WHERE NOT ok AND NOT in_cache),
+ n AS (SELECT id, f, dense_rank() OVER (ORDER BY f) AS nth FROM m)
+SELECT r.id, CASE WHEN ok THEN 'keep' WHEN in_cache THEN 'cache' WHEN nth > {BUDGET} THEN 'pending' WHEN f < r.id THEN 'cache' ELSE 'generate' END AS action,
+ CASE WHEN ok THEN coalesce(nullif(summary_source, ''), 'crawler') WHEN in_cache THEN cached WHEN nth > {BUDGET} THEN coalesce(nullif(summary_source, ''), 'pending') WHEN content THEN 'fallback' ELSE 'missing_content' END AS summary_source
+FROM r LEFT JOIN n ON r.id = n.id""")(lambda v: ar.enrich_plan(v.articles, v.summary_cache, v.spark.sql(_CONTENTS), BUDGET))
+
+#: Sizes of candidate images of an article; the third has none.
+_SIZES = "SELECT id, n, CASE n WHEN 0 THEN 180 + id % 1900 WHEN 1 THEN 90 + id % 700 ELSE 0 END AS w, CASE n WHEN 0 THEN 108 + id % 1300 WHEN 1 THEN 90 + id % 500 ELSE 100 END AS h FROM articles_v"
+_SCORE = "CASE WHEN w > 0 AND h > 0 THEN 1.0::DOUBLE / greatest(1080.0::DOUBLE / w, 610.0::DOUBLE / h, 0.01::DOUBLE) + least(w::DOUBLE * h / 658800, 2.0::DOUBLE) * 0.18::DOUBLE - abs(w::DOUBLE / h - 1080.0::DOUBLE / 610) / (1080.0::DOUBLE / 610) * 0.08::DOUBLE END"
+query("thumbnail_score", f"WITH s AS (SELECT s.*, {_SCORE} AS score FROM ({_SIZES}, (SELECT unnest([0, 1, 2]) AS n)) s) SELECT id, CAST(arg_max(n, score) AS INT) AS best, round(max(score), 6) AS score FROM s GROUP BY id")(
+    lambda v: v.spark.sql(f"{_SIZES} LATERAL VIEW explode(array(0, 1, 2)) AS n").withColumn("score", pb.thumbnail_score("w", "h")).groupBy("id").agg(F.max_by("n", F.struct("score", -F.col("n"))).alias("best"), F.round(F.max("score"), 6).alias("score")))
+
+#: The pages of the tables are of no real site: this one takes their navigation links.
+ANY_SITE = ex.Site("pages", "https://pages.example/", "pages.example", "", "", "", blocks=("nav li", "article"), title="h1 a[href], a[href]", loose="a[href]", summaries=("p",), near_names=("article",), near_classes=(), path="[^/]", least_title=2)
+query("html_site_articles")(lambda v: ex.extract_articles(v.pages, ANY_SITE, _NOW))
+query("html_page_details")(lambda v: ex.page_details(v.pages.select("page_id", "url", "html")))
