@@ -44,6 +44,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, with as many underscores before it as make it differ from the columns taken."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = "_" + name
+    return name
+
+
 def bucket_of(doc_id: str, mod: int):
     """crc32 of the id's decimal text, modulo mod: the stable train / held-out split."""
     return F.crc32(F.encode(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "UTF-8")) % mod

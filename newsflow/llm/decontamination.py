@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._session import small_batches, written
+from ._session import free_name, small_batches, written
 
 U = np.uint64
 K = 10
@@ -238,7 +238,8 @@ def report(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
 
 def remove(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **names) -> DataFrame:
     """docs without the documents that hold a window of an item. Ids are unique in docs; null ids are kept only when clean."""
-    bad = matches(docs, benchmark, doc_id=doc_id, **names).where(F.size("spans") > 0).select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, F.col(doc_id).cast("bigint").eqNullSafe(F.col("_bad")), "left_anti")
+    hit = free_name("_bad", docs.columns)
+    bad = matches(docs, benchmark, doc_id=doc_id, **names).where(F.size("spans") > 0).select(F.col("doc_id").alias(hit))
+    return docs.join(bad, F.col(doc_id).cast("bigint").eqNullSafe(F.col(hit)), "left_anti")
 
 

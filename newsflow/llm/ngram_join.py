@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._session import small_batches, written
+from ._session import free_name, small_batches, written
 from .graph import components
 
 U = np.uint64
@@ -216,8 +216,9 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **names) -> DataFrame:
-    """docs with one document of each class: that of the least id (one row, if the id repeats)."""
-    keep = join(docs, text, doc_id, **names).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_keep")).distinct()
+    """docs with one document of each class: that of the least id. Ids are unique in docs: rows that share one, null ids too, are one document and keep one row."""
+    mine, least = free_name("_id", docs.columns), free_name("_keep", docs.columns)
+    keep = join(docs, text, doc_id, **names).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias(least)).distinct()
     id_ = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID))
-    kept = docs.withColumn("_id", id_).join(keep, F.col("_id") == F.col("_keep"), "left_semi")
-    return kept.dropDuplicates(["_id"]).select(*docs.columns)
+    kept = docs.withColumn(mine, id_).join(keep, F.col(mine) == F.col(least), "left_semi")
+    return kept.dropDuplicates([mine]).select(*docs.columns)
