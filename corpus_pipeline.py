@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsflow.llm import decontamination, mixing, ngram_join, quality_classifier, suffix_dedup
-from newsflow.llm._session import bucket_of, table, written
+from newsflow.llm._session import bucket_of, free_name, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects (score below 0.7) go."""
+    """Documents that the classifier rejects (score below 0.7) go; columns of the documents named score or predicted stay theirs."""
     model = quality_classifier.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").where(bucket_of("doc_id", 4) != 2))
-    return quality_classifier.score(docs, model).where(F.col("predicted") == 1).drop("score", "predicted")
+    own = {c: free_name(c, docs.columns) for c in docs.columns if c.lower() in ("score", "predicted")}
+    kept = quality_classifier.score(docs.withColumnsRenamed(own), model).where(F.col("predicted") == 1).drop("score", "predicted")
+    return kept.withColumnsRenamed({new: old for old, new in own.items()})
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
