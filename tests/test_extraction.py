@@ -28,7 +28,7 @@ def test_tree_ends_paragraphs_and_passes_over_stray_ends():
 @pytest.mark.parametrize("html", [None, "", "   ", "<", "<a", "no tags", "<p>" * 20000, "<!-- " * 50, "<b>" * 20000])
 def test_odd_pages_have_no_articles(html):
     assert extraction.articles_of(extraction.VNEXPRESS, html) == []
-    assert len(extraction.details_of("", html, None)) == 4
+    assert len(extraction.details_of("", html, None)) == 5
 
 
 def test_list_page(spark):
@@ -63,6 +63,14 @@ def test_details_fill_blanks_only(spark):
     assert [(r.published_at, r.summary, r.thumbnail) for r in got if r.title != "T"] == [("x", f"{long} Hai.", "t")]
 
 
+def test_card_images():
+    image = lambda html: extraction.card_image_of(parse(html), "https://a.example/x/")
+    assert image("<meta name='twitter:image' content='/t.jpg'><meta property='og:image' content=' '>") == "https://a.example/t.jpg"
+    assert image("<img src=/out.jpg><article><img src=/site-logo.png data-src='data:x'><img srcset='/s.jpg 300w, /l.jpg 2x, /m.jpg 900w'></article>") == "https://a.example/l.jpg"
+    assert image("<p><img src=y.jpg>") == "https://a.example/x/y.jpg" and image("<img src=/Icon.png>") == image("") == ""
+    assert extraction.widest("a 1x, b 1080w,, c") == "b" and extraction.widest("a, b") == "b" and extraction.widest(" , ") == ""
+
+
 def test_summaries_are_cut_at_words():
     assert extraction.shorten("a" * 300 + " bbb, " + "c" * 50) == "a" * 300 + " bbb..."
 
