@@ -1,8 +1,11 @@
 """Licences of files by sparse TF-IDF cosine to templates, and by inheritance from the nearest licensed ancestor directory.
 
 Units are the lines of a text and the text as a whole: headers match as lines, licence files as a whole. Terms are words of
-letters and digits, A-Z lowered. Document frequencies of the templates' terms are counted over all units of the corpus; any other
-term has the frequency 0, so foreign words only lower a cosine. What is collected is one row per template term.
+letters and digits, A-Z lowered. Document frequencies are counted over all units of the corpus. With frequencies="corpus" (the
+registered query) those of all terms are: terms of two units and more are kept as sorted shards in the shared folder that the match
+tasks map, any other term of a unit has the frequency 1, and cosines do not depend on the size of the corpus. With
+frequencies="templates" only the templates' terms are counted; any other term has the frequency 0 and the largest weight, which
+grows with the corpus. What is collected is one row per template term.
 A unit's best template counts from `least` on. Files without a match inherit from the deepest ancestor directory for which a
 licence file was matched: a file's ancestors (as many as its path has parts) are joined with those directories by path.
 
@@ -12,7 +15,7 @@ template by name wins; of two licence files in one directory the best cosine, th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._session import small_batches, written
+from ._session import shared_dir, small_batches, written
+from .lm_scoring import _mapped, _store
 
 U = np.uint64
 LEAST = 0.8
@@ -87,7 +91,62 @@ def _frequency_task(t: _Templates):
     return run
 
 
-def _match_task(t: _Templates, idf: np.ndarray, unknown: float, least: float):
+def _term_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, units that have it) of each slice of texts; the null term has the number of units."""
+    for batch in batches:
+        for part in T.slices(batch, "text"):
+            units, _ = _units(part.column("text"))
+            term, n = np.unique(_terms(units)[1], return_counts=True)
+            terms = pa.concat_arrays([pa.array([None], pa.int64()), pa.array(term.view(np.int64))])
+            yield pa.RecordBatch.from_arrays([terms, pa.array(np.concatenate(([len(units)], n)), pa.int64())], ["term", "n"])
+
+
+class _Frequencies:
+    """Frequencies of the terms of two units and more, in shards of the terms' top bits; a term that is in no shard has 1."""
+
+    def __init__(self, path: str, shards: int):
+        self.path, self.shards, self.open = path, shards, {}
+
+    def store(self, key: tuple, rows: pa.Table) -> pa.Table:
+        term, n = rows.column("term").to_numpy().view(U), rows.column("n").to_numpy()
+        order = np.argsort(term)
+        _store(self.path, f"term-{key[0].as_py()}", term[order])
+        _store(self.path, f"n-{key[0].as_py()}", n[order])
+        return pa.table({"n": pa.array([len(term)], pa.int64())})
+
+    def get(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
+        if shard not in self.open:
+            self.open[shard] = _mapped(self.path, f"term-{shard}"), _mapped(self.path, f"n-{shard}")
+        return self.open[shard]
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        unique, inverse = np.unique(h, return_inverse=True)
+        out = np.ones(len(unique))
+        cut = np.searchsorted(unique >> U(65 - self.shards.bit_length()), np.arange(self.shards + 1).astype(U))
+        for s in np.flatnonzero(np.diff(cut)).tolist():
+            part = slice(int(cut[s]), int(cut[s + 1]))
+            term, n = self.get(s)
+            if len(term):
+                at = np.minimum(np.searchsorted(term, unique[part]), len(term) - 1)
+                out[part] = np.where(term[at] == unique[part], n[at], 1)
+        return out[inverse]
+
+
+def _corpus_frequencies(texts: DataFrame, t: _Templates) -> tuple[int, np.ndarray, _Frequencies]:
+    """The number of units, the frequencies of the templates' terms and those of all terms."""
+    spark = texts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = min(4096, 1 << max(1, (parts - 1).bit_length()))
+    counted = written(texts.select("text").mapInArrow(_term_task, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")), "license-terms")
+    kept = _Frequencies(shared_dir(spark, "license-frequencies"), shards)
+    sharded = counted.where("term is not null and n > 1").withColumn("shard", F.shiftrightunsigned("term", 65 - shards.bit_length()))
+    written(sharded.groupBy("shard").applyInArrow(lambda key, rows: kept.store(key, rows), "n bigint"), "license-shards")
+    mine = t.terms.view(np.int64).tolist()
+    got = {r["term"]: r["n"] for r in counted.where(F.col("term").isNull() | F.col("term").isin(mine)).collect()}
+    return got.get(None, 0), np.array([got.get(i, 0) for i in mine], float), kept
+
+
+def _match_task(t: _Templates, idf: np.ndarray, unknown: Callable[[np.ndarray], np.ndarray], least: float):
     weights = t.counts * idf[:, None]
     weights = weights / np.sqrt((weights**2).sum(axis=0))
 
@@ -97,7 +156,12 @@ def _match_task(t: _Templates, idf: np.ndarray, unknown: float, least: float):
                 units, of = _units(part.column("text"))
                 unit, term, tf = _terms(units)
                 at, hit = t.known(term)
-                value = tf * np.where(hit, idf[at], unknown)
+                near = np.zeros(len(units), bool)
+                near[unit[hit]] = True
+                far = near[unit] & ~hit
+                weight = np.where(hit, idf[at], 0.0)
+                weight[far] = unknown(term[far])
+                value = tf * weight
                 norm = np.sqrt(np.bincount(unit, value**2, minlength=len(units)))
                 use = np.unique(unit[hit])
                 row = np.searchsorted(use, unit[hit])
@@ -120,22 +184,29 @@ def _match_task(t: _Templates, idf: np.ndarray, unknown: float, least: float):
     return run
 
 
-def match(files: DataFrame, text: str, row: Column, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
+def match(files: DataFrame, text: str, row: Column, templates: dict[str, str] | None = None, least: float = LEAST, frequencies: str = "templates") -> DataFrame:
     """row, own (the template that the text matches, or null) and cosine (of its best unit), for every row of files."""
+    if frequencies not in ("templates", "corpus"):
+        raise ValueError("frequencies are those of the templates' terms or of the corpus")
     small_batches(files.sparkSession)
     t = _Templates(templates or TEMPLATES)
     texts = files.select(row.alias("row"), F.col(text).alias("text"))
-    counted = texts.select("text").mapInArrow(_frequency_task(t), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    got = {r["term"]: r["n"] for r in counted}
-    n = got.get(-1, 0)
-    idf = np.log((1 + n) / (1 + np.array([got.get(i, 0) for i in range(len(t.terms))], float))) + 1
+    if frequencies == "corpus":
+        n, seen, kept = _corpus_frequencies(texts, t)
+        unknown = lambda h: np.log((1 + n) / (1 + kept.of(h))) + 1
+    else:
+        counted = texts.select("text").mapInArrow(_frequency_task(t), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+        got = {r["term"]: r["n"] for r in counted}
+        n, seen = got.get(-1, 0), np.array([got.get(i, 0) for i in range(len(t.terms))], float)
+        unknown = lambda h: np.full(len(h), np.log(1 + n) + 1)
+    idf = np.log((1 + n) / (1 + seen)) + 1
     kind = texts.schema["row"].dataType.simpleString()
-    return texts.mapInArrow(_match_task(t, idf, float(np.log(1 + n)) + 1, least), f"row {kind}, own string, cosine double")
+    return texts.mapInArrow(_match_task(t, idf, unknown, least), f"row {kind}, own string, cosine double")
 
 
-def scan(files: DataFrame, path: str = "path", text: str = "text", doc_id: str = "doc_id", templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
+def scan(files: DataFrame, path: str = "path", text: str = "text", doc_id: str = "doc_id", templates: dict[str, str] | None = None, least: float = LEAST, frequencies: str = "templates") -> DataFrame:
     """Per row: doc_id, path, own licence and its cosine, the licence that holds for it, and the directory it comes from."""
-    found = written(match(files, text, F.struct(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(path).alias("path")), templates, least).select("row.doc_id", "row.path", "own", "cosine"), "license-own")
+    found = written(match(files, text, F.struct(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(path).alias("path")), templates, least, frequencies).select("row.doc_id", "row.path", "own", "cosine"), "license-own")
     parts = F.split("path", "/", -1)
     name, directory = F.element_at(parts, -1), F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
     granted = found.where(F.col("own").isNotNull() & name.rlike(LICENSE_FILES)).groupBy(directory.alias("dir"))
