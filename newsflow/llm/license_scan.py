@@ -1,6 +1,9 @@
 """Licences of files by sparse TF-IDF cosine to templates, and by inheritance from the nearest licensed ancestor directory.
 
-Units are the lines of a text and the text as a whole: headers match as lines, licence files as a whole. Terms are words of
+Units are the lines of a text and the text as a whole: headers match as lines, licence files as a whole. With passages=True (the
+registered query) paragraphs of several lines and sentences are units too: a paragraph ends at a line without words, a sentence
+at [.!?] before a capital A-Z, and comment signs between them are passed over. Of the units that reach `least`, the one of most
+words then decides, and frequencies are still those over lines and whole texts. Terms are words of
 letters and digits, A-Z lowered. Document frequencies are counted over all units of the corpus. With frequencies="corpus" (the
 registered query) those of all terms are: terms of two units and more are kept as sorted shards in the shared folder that the match
 tasks map, any other term of a unit has the frequency 1, and cosines do not depend on the size of the corpus. With
@@ -28,6 +31,9 @@ from ._session import shared_dir, small_batches, written
 from .lm_scoring import _mapped, _store
 
 U = np.uint64
+#: Regular expressions (RE2) of the end of a paragraph and of a sentence.
+PARAGRAPH = r"\n([^0-9A-Za-z\x{80}-\x{10FFFF}\n]*\n)+"
+SENTENCE = r"[.!?][\"')]*\s[\s*#/;%>\"'(-]*([A-Z])"
 LEAST = 0.8
 #: File names that license their directory.
 LICENSE_FILES = r"(?i)^(licen[cs]e|copying)([.-].*)?$"
@@ -66,6 +72,19 @@ def _units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.concat_arrays([flat, texts.cast(pa.large_string()).take(pa.array(several))]), np.concatenate((of, several))
 
 
+def _passages(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Paragraphs of several lines (but not whole texts), then the sentences of paragraphs that have several; the text of each."""
+    texts = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_string())
+    split = pc.split_pattern_regex(texts, PARAGRAPH)
+    of, paragraphs = pc.list_parent_indices(split).to_numpy(), pc.list_flatten(split)
+    inner = np.bincount(of, minlength=len(texts))[of] > 1
+    inner &= pc.match_substring(paragraphs, "\n").to_numpy(zero_copy_only=False)
+    marked = pc.split_pattern(pc.replace_substring_regex(paragraphs, SENTENCE, "\x00\\1"), "\x00")
+    parent, sentences = pc.list_parent_indices(marked).to_numpy(), pc.list_flatten(marked)
+    several = np.bincount(parent, minlength=len(paragraphs))[parent] > 1
+    return pa.concat_arrays([paragraphs.filter(pa.array(inner)), sentences.filter(pa.array(several))]), np.concatenate((of[inner], of[parent][several]))
+
+
 def _terms(units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(unit, term, occurrences), one row for each distinct term of a unit."""
     h, b = T.words(units, T.ALNUM)
@@ -146,14 +165,17 @@ def _corpus_frequencies(texts: DataFrame, t: _Templates) -> tuple[int, np.ndarra
     return got.get(None, 0), np.array([got.get(i, 0) for i in mine], float), kept
 
 
-def _match_task(t: _Templates, idf: np.ndarray, unknown: Callable[[np.ndarray], np.ndarray], least: float):
+def _match_task(t: _Templates, idf: np.ndarray, unknown: Callable[[np.ndarray], np.ndarray], least: float, passages: bool):
     weights = t.counts * idf[:, None]
     weights = weights / np.sqrt((weights**2).sum(axis=0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.slices(batch, "text"):
+            for part in T.slices(batch, "text", (2 if passages else 4) << 20):
                 units, of = _units(part.column("text"))
+                if passages:
+                    more, owners = _passages(part.column("text"))
+                    units, of = pa.concat_arrays([units, more]), np.concatenate((of, owners))
                 unit, term, tf = _terms(units)
                 at, hit = t.known(term)
                 near = np.zeros(len(units), bool)
@@ -163,28 +185,30 @@ def _match_task(t: _Templates, idf: np.ndarray, unknown: Callable[[np.ndarray],
                 weight[far] = unknown(term[far])
                 value = tf * weight
                 norm = np.sqrt(np.bincount(unit, value**2, minlength=len(units)))
-                use = np.unique(unit[hit])
-                row = np.searchsorted(use, unit[hit])
+                use = np.flatnonzero(near)
+                row, at, value = np.searchsorted(use, unit[hit]), at[hit], value[hit]
                 dots = np.zeros((len(use), len(t.names)))
-                np.add.at(dots, row, value[hit][:, None] * weights[at[hit]])
+                for k in range(len(t.names)):
+                    dots[:, k] = np.bincount(row, value * weights[at, k], minlength=len(use))
                 cosine = dots / norm[use][:, None] if len(use) else dots
                 best = cosine.argmax(axis=1) if len(use) else np.zeros(0, np.int64)
                 top = np.round(cosine[np.arange(len(use)), best], 12)
                 owner = of[use]
-                order = np.lexsort((best, -top, owner))
+                size = np.where(top >= least, np.bincount(unit, tf, minlength=len(units))[use], 0) if passages else np.zeros(len(use))
+                order = np.lexsort((best, -top, -size, owner))
                 first = order[np.unique(owner[order], return_index=True)[1]]
                 name: list[str | None] = [None] * part.num_rows
                 score = [0.0] * part.num_rows
                 for i in first.tolist():
                     score[owner[i]] = float(top[i])
                     if top[i] >= least:
-                        name[owner[i]] = t.names[best[i]]
+                        name[owner[i]] = t.names[best[i]].partition("#")[0]
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(name, pa.string()), pa.array(score)], ["row", "own", "cosine"])
 
     return run
 
 
-def match(files: DataFrame, text: str, row: Column, templates: dict[str, str] | None = None, least: float = LEAST, frequencies: str = "templates") -> DataFrame:
+def match(files: DataFrame, text: str, row: Column, templates: dict[str, str] | None = None, least: float = LEAST, frequencies: str = "templates", passages: bool = False) -> DataFrame:
     """row, own (the template that the text matches, or null) and cosine (of its best unit), for every row of files."""
     if frequencies not in ("templates", "corpus"):
         raise ValueError("frequencies are those of the templates' terms or of the corpus")
@@ -201,12 +225,12 @@ def match(files: DataFrame, text: str, row: Column, templates: dict[str, str] |
         unknown = lambda h: np.full(len(h), np.log(1 + n) + 1)
     idf = np.log((1 + n) / (1 + seen)) + 1
     kind = texts.schema["row"].dataType.simpleString()
-    return texts.mapInArrow(_match_task(t, idf, unknown, least), f"row {kind}, own string, cosine double")
+    return texts.mapInArrow(_match_task(t, idf, unknown, least, passages), f"row {kind}, own string, cosine double")
 
 
-def scan(files: DataFrame, path: str = "path", text: str = "text", doc_id: str = "doc_id", templates: dict[str, str] | None = None, least: float = LEAST, frequencies: str = "templates") -> DataFrame:
+def scan(files: DataFrame, path: str = "path", text: str = "text", doc_id: str = "doc_id", templates: dict[str, str] | None = None, least: float = LEAST, frequencies: str = "templates", passages: bool = False) -> DataFrame:
     """Per row: doc_id, path, own licence and its cosine, the licence that holds for it, and the directory it comes from."""
-    found = written(match(files, text, F.struct(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(path).alias("path")), templates, least, frequencies).select("row.doc_id", "row.path", "own", "cosine"), "license-own")
+    found = written(match(files, text, F.struct(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(path).alias("path")), templates, least, frequencies, passages).select("row.doc_id", "row.path", "own", "cosine"), "license-own")
     parts = F.split("path", "/", -1)
     name, directory = F.element_at(parts, -1), F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
     granted = found.where(F.col("own").isNotNull() & name.rlike(LICENSE_FILES)).groupBy(directory.alias("dir"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_rollups, warc
+from . import decontamination, license_scan, license_texts, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_rollups, warc
 from ._session import bucket_of, table, written
 
 
@@ -65,7 +65,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(i % 8 == 0, F.lit("LICENSE")).otherwise(F.concat(i.cast("string"), F.lit(".txt")))
     path = F.concat_ws("/", "source", "lang", (i - i % 512).cast("string"), (i - i % 8).cast("string"), name)
     shelf = F.concat_ws("/", "source", "lang", (i - i % 512).cast("string"), name)
-    return license_scan.scan(table(spark, sf_dir, "documents").withColumn("path", F.when(i % 512 == 0, shelf).otherwise(path)), frequencies="corpus")
+    return license_scan.scan(table(spark, sf_dir, "documents").withColumn("path", F.when(i % 512 == 0, shelf).otherwise(path)), templates=license_texts.templates(), frequencies="corpus", passages=True)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
