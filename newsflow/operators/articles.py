@@ -178,11 +178,11 @@ def move(df: DataFrame, article: int, step: int) -> DataFrame:
     return ranked.select("id", F.when(F.col("rank") == i, j).when(F.col("rank") == j, i).otherwise(F.col("rank")).alias("client_order"))
 
 
-def set_status(df: DataFrame, ids: list[int], status: str, now: str) -> DataFrame:
-    """Rows of the ids get the status and its timestamps; a return to pending keeps the old ones."""
+def set_status(df: DataFrame, ids: list[int] | Column, status: str, now: str) -> DataFrame:
+    """Rows of the ids, or for which a condition holds, get the status and its timestamps; a return to pending keeps the old ones."""
     if status not in topics.STATUSES:
         raise ValueError("unknown status")
-    hit = F.col("id").isin(ids)
+    hit = ids if isinstance(ids, Column) else F.col("id").isin(ids)
     stamp = {"updated_at"} | ({"reviewed_at"} if status in ("approved", "rejected") else set()) | ({"approved_at"} if status == "approved" else set()) | ({"deleted_at"} if status == "deleted" else set())
     return df.withColumns({"status": F.when(hit, F.lit(status)).otherwise(F.col("status")), **{c: F.when(hit, F.lit(now)).otherwise(F.col(c)) for c in sorted(stamp)}})
 
