@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -78,7 +78,12 @@ def _node_ids(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return T.pair(total[bounds[1:]] - total[bounds[:-1]], np.diff(bounds).astype(U)).view(np.int64)
 
 
-SKETCH = "doc_id bigint, node bigint, bands array<bigint>"
+def _text_key(text: str) -> Column:
+    """With the id it tells rows of different texts apart (64 bits)."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+SKETCH = "doc_id bigint, key bigint, node bigint, bands array<bigint>"
 
 
 def _sketch_task(n: int, bands: int, rows: int):
@@ -103,7 +108,7 @@ def _sketch_task(n: int, bands: int, rows: int):
                 offsets = np.zeros(part.num_rows + 1, np.int32)
                 offsets[1:] = np.cumsum((np.diff(b) > 0) * bands)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_node_ids(h, b)), lists], ["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(_node_ids(h, b)), lists], ["doc_id", "key", "node", "bands"])
 
     return run
 
@@ -186,39 +191,49 @@ def _verify_task(n: int, threshold: float):
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per row of docs: doc_id, class_id (least id of its connected texts), text_class (least id of the
     same n-gram set), n_links (other documents of at least the threshold), class_size."""
+    sketch, known = _classes(docs, text, doc_id, n, threshold, recall)
+    classes = known.groupBy("component").agg(F.min("text_class").alias("class_id"), F.sum("copies").alias("class_size"))
+    final = known.join(classes, "component").select("node", "class_id", "text_class", (F.col("links") + F.col("copies") - 1).alias("n_links"), "class_size")
+    out = sketch.select("doc_id", "node").join(final, "node")
+    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
+    return out.select(real("doc_id"), real("class_id"), real("text_class"), "n_links", "class_size")
+
+
+def _classes(docs: DataFrame, text: str, doc_id: str, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The written sketch of every row, and for each node its least id and this row's text key, its copies, links and component."""
     spark = docs.sparkSession
     small_batches(spark)
     bands, rows = plan(threshold, recall)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"))
+    texts = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), _text_key(text).alias("key"), F.col(text).alias("text"))
     sketch = written(texts.mapInArrow(_sketch_task(n, bands, rows), SKETCH), "join-sketch")
-    nodes = written(sketch.groupBy("node").agg(F.min("doc_id").alias("text_class"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "join-nodes")
+    nodes = written(sketch.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands")).select("node", F.col("least.doc_id").alias("text_class"), F.col("least.key").alias("key"), "copies", "bands"), "join-nodes")
     bucket = nodes.select("node", F.explode("bands").alias("band"))
     least = bucket.groupBy("band").agg(F.min("node").alias("root"), F.count("*").alias("size")).where("size > 1")
     star = bucket.join(least, "band").where("node <> root").select("node", "root").distinct()
     family = components(star, "node", "root").withColumnRenamed("component", "family")
     sized = family.join(family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "family")
-    member = sized.join(nodes.select("node", "text_class", "copies"), "node").withColumn("block", F.pmod(F.hash("node"), "blocks"))
+    member = sized.join(nodes.select("node", "text_class", "key", "copies"), "node").withColumn("block", F.pmod(F.hash("node"), "blocks"))
     member = member.withColumnRenamed("text_class", "doc_id")
-    fetched = texts.join(member, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # By id and text: another text under a repeated id is not fetched, and copies of a row only once.
+    one = texts.join(member, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+    fetched = one.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     fetched = fetched.select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "copies", "text")
     tasks = fetched.repartition(parts, "family", "low", "high").sortWithinPartitions("family", "low", "high")
     verdicts = written(tasks.mapInArrow(_verify_task(n, threshold), VERDICTS), "join-verdicts")
     linked = components(verdicts.where("root <> node"), "node", "root")
     links = verdicts.groupBy("node").agg(F.sum("links").alias("links"))
-    known = nodes.select("node", "text_class", "copies").join(linked, "node", "left").join(links, "node", "left")
-    known = written(known.select("node", "text_class", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "join-known")
-    classes = known.groupBy("component").agg(F.min("text_class").alias("class_id"), F.sum("copies").alias("class_size"))
-    final = known.join(classes, "component").select("node", "class_id", "text_class", (F.col("links") + F.col("copies") - 1).alias("n_links"), "class_size")
-    out = sketch.select("doc_id", "node").join(final, "node")
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return out.select(real("doc_id"), real("class_id"), real("text_class"), "n_links", "class_size")
+    known = nodes.select("node", "text_class", "key", "copies").join(linked, "node", "left").join(links, "node", "left")
+    return sketch, written(known.select("node", "text_class", "key", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "join-known")
 
 
-def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **names) -> DataFrame:
-    """docs with one document of each class: that of the least id. Ids are unique in docs: rows that share one, null ids too, are one document and keep one row."""
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """docs with one row of each class: that of the least id, and of texts under this id that of the least key. Ids may repeat and be null:
+    different texts under one id are documents of their own; of rows with one id and one text any one stays."""
     mine, least = free_name("_id", docs.columns), free_name("_keep", docs.columns)
-    keep = join(docs, text, doc_id, **names).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias(least)).distinct()
-    id_ = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID))
-    kept = docs.withColumn(mine, id_).join(keep, F.col(mine) == F.col(least), "left_semi")
-    return kept.dropDuplicates([mine]).select(*docs.columns)
+    key, kept_key = free_name("_key", docs.columns), free_name("_keep_key", docs.columns)
+    _, known = _classes(docs, text, doc_id, n, threshold, recall)
+    keep = known.groupBy("component").agg(F.min(F.struct("text_class", "key")).alias("least")).select(F.col("least.text_class").alias(least), F.col("least.key").alias(kept_key))
+    rows = docs.withColumn(mine, F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID))).withColumn(key, _text_key(text))
+    kept = rows.join(keep, (F.col(mine) == F.col(least)) & (F.col(key) == F.col(kept_key)), "left_semi")
+    return kept.dropDuplicates([mine, key]).select(*docs.columns)
