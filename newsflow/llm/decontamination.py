@@ -236,10 +236,9 @@ def report(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
         (F.size("spans") > 0).alias("contaminated"), F.col("longest").alias("longest_match"), "longest_item", "longest_at")
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **names) -> DataFrame:
-    """docs without the documents that hold a window of an item. Ids are unique in docs; null ids are kept only when clean."""
-    hit = free_name("_bad", docs.columns)
-    bad = matches(docs, benchmark, doc_id=doc_id, **names).where(F.size("spans") > 0).select(F.col("doc_id").alias(hit))
-    return docs.join(bad, F.col(doc_id).cast("bigint").eqNullSafe(F.col(hit)), "left_anti")
-
-
+def remove(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **names) -> DataFrame:
+    """docs without the documents that hold a window of an item. Rows go by a 64-bit hash of id and text, so ids may repeat and be null."""
+    key, hit = free_name("_key", docs.columns), free_name("_bad", docs.columns)
+    keyed = docs.withColumn(key, F.xxhash64(F.col(doc_id).cast("bigint"), F.coalesce(F.col(text), F.lit(""))))
+    bad = matches(keyed, benchmark, doc_id=key, text=text, **names).where(F.size("spans") > 0).select(F.col("doc_id").alias(hit))
+    return keyed.join(bad, F.col(key) == F.col(hit), "left_anti").select(*docs.columns)

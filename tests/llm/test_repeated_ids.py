@@ -2,7 +2,9 @@
 
 import random
 
-from newsflow.llm import ngram_join
+import pytest
+
+from newsflow.llm import decontamination, ngram_join
 
 random.seed(8)
 prose = lambda n=60: " ".join(f"w{random.randrange(900)}" for _ in range(n))
@@ -18,3 +20,12 @@ def test_deduplicate_keeps_different_texts_of_an_id(spark):
     rest = sorted(t for i, t in got if i is None)
     assert sorted((i, t) for i, t in got if i is not None) == [(3, near), (7, b)]
     assert len(rest) == 40 and set(others[1:]) < set(rest) and len({others[0], copies[0]} & set(rest)) == 1
+
+
+@pytest.mark.parametrize("id_", [None, 5])
+def test_remove_keeps_clean_documents_of_an_id(spark, id_):
+    item = prose(14)
+    rows = [(id_, f"{prose(20)} {item} {prose(20)}"), (id_, prose()), (id_, None), (8, prose())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = decontamination.remove(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, rows[1:]))
