@@ -9,18 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to Python; long texts make 10,000-row batches too large.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new folder under spark.checkpoint.dir, which every executor sees.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is chosen and set.
+    Only where that setting is absent and the master is local (tests on one machine) a temporary folder is chosen and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="newsflow-")
             spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/newsflow/{tag}-{uuid.uuid4().hex[:12]}"
@@ -28,9 +30,21 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = shared_dir(spark, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()  # shuffle files of finished steps go when the driver notices that nothing refers to them
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes the folders of written tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -44,6 +58,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold dots or backticks, as Spark reads it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """`name`, with as many underscores before it as make it differ from the columns taken."""
     while name.lower() in {c.lower() for c in taken}:

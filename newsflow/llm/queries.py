@@ -52,7 +52,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+    """n_passages and n_passage_words: repeats of 256 bytes that cover over 50 words in a run, from the same pass."""
+    return suffix_dedup.report(table(spark, sf_dir, "documents"), fine=suffix_dedup.FINE)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,12 +13,14 @@
    context order; where occurrences of different children become neighbours there, the left extension that
    they share is tested: right depth + left extension >= LEAST is a repeat that cannot be extended. By the order,
    neighbours share the longest left extension, so no occurrence of a maximal repeat is lost and all pairs are never formed.
+   `maximal_repeats` scans the same array and puts the groups themselves out, each with all its occurrences.
 4. Anchors with more than GROUP different contexts do not fit that bound: all their LEAST-byte windows are
    counted by hash instead (map-side sums again), which is exact and free of groups.
 
-Bytes of a text covered by repeats are merged to spans. Rows are identified by id and text hash, so repeated rows
-and repeated ids are well defined: a text that occurs in two rows repeats itself. Null and empty texts have no bytes.
-Other columns are kept by `deduplicate` and ignored by `spans`.
+Bytes of a text covered by repeats are merged to spans. With `fine` (bytes, fewer than `least`) the anchors are chosen for
+strings of `fine` bytes, so one pass finds the repeats of both lengths.
+Rows are identified by hashes of id and text, so ids of any type, repeated rows and repeated ids are well defined: a text that
+occurs in two rows repeats itself. Null and empty texts have no bytes. Other columns are kept by `deduplicate` and ignored else.
 """
 
 from __future__ import annotations
@@ -33,17 +35,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._session import small_batches, written
+from ._session import forget, free_name, quoted, small_batches, written
 
 U = np.uint64
 LEAST, K = 400, 32
+#: Bytes from which repeats are looked for where passages count by words, and the words of such a passage.
+FINE, PASSAGE_WORDS = 256, 51
 #: Different contexts of one anchor that one task holds.
 GROUP = 100_000
 #: Copies from which a context is one of the hot ones, and the most hot ones (two numbers each) that a task is given.
 OFTEN, HOT_KEYS = 500, 50_000
 #: Entries of a shard that are sorted together.
 SHARD = 40_000
-PIECE = 2 << 20
+PIECE = 1 << 19
 
 
 def window_argmin(h: np.ndarray, w: int) -> np.ndarray:
@@ -59,15 +63,15 @@ def window_argmin(h: np.ndarray, w: int) -> np.ndarray:
     return (low - (np.minimum(right[:out], left[w - 1 : w - 1 + out]) & low)).astype(np.int64)
 
 
-def anchors(data: np.ndarray, off: np.ndarray, least: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def anchors(data: np.ndarray, off: np.ndarray, least: int, k: int, fine: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(text, position in the text, gram hash, context hash) of all anchors, piece by piece."""
-    w, reach = least - k + 1, least
+    w, reach = fine - k + 1, least
     lo, end = int(off[0]), int(off[-1])
     while lo < end:
         stop = min(end, lo + PIECE)  # windows that start in [lo, stop)
         a, b = max(int(off[0]), lo - reach), min(end, stop + 2 * reach + least)
         piece = data[a:b]
-        if len(piece) >= least:
+        if len(piece) >= fine:
             total = T.prefix_hash(piece)
             at = np.arange(len(piece) - k + 1)
             gram = T.span_hash(total, at, at + k)
@@ -75,7 +79,7 @@ def anchors(data: np.ndarray, off: np.ndarray, least: int, k: int) -> Iterator[t
                 best = window_argmin(gram, w)
                 start = np.arange(len(best)) + a
                 text_end = off[np.searchsorted(off, start, "right")]
-                ok = (start >= lo) & (start < stop) & (start + least <= text_end)
+                ok = (start >= lo) & (start < stop) & (start + fine <= text_end)
                 got = np.unique(best[ok])
                 if len(got):
                     position = got + a
@@ -87,10 +91,10 @@ def anchors(data: np.ndarray, off: np.ndarray, least: int, k: int) -> Iterator[t
         lo = stop
 
 
-ANCHORS = "k1 bigint, k2 bigint, pos bigint, anchor bigint, context bigint"
+ANCHORS = "k1 int, k2 bigint, pos bigint, anchor bigint, context bigint"
 
 
-def _anchor_task(least: int, k: int):
+def _anchor_task(least: int, k: int, fine: int):
     names = [x.split()[0] for x in ANCHORS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +102,7 @@ def _anchor_task(least: int, k: int):
             data, off = T.utf8(batch.column("text"))
             k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
             seen: set[tuple[int, int]] = set()  # an anchor next to the edge of a piece may be found from both sides
-            for text, pos, gram, context in anchors(data, off, least, k):
+            for text, pos, gram, context in anchors(data, off, least, k, fine):
                 edge = set(zip(text.tolist(), pos.tolist(), strict=True)) if off[-1] - off[0] > PIECE else set()
                 if seen and (both := seen & edge):
                     keep = np.array([x not in both for x in zip(text.tolist(), pos.tolist(), strict=True)])
@@ -109,15 +113,21 @@ def _anchor_task(least: int, k: int):
     return run
 
 
-ENTRIES = "k1 bigint, k2 bigint, pos bigint, anchor bigint, hot boolean, before binary, after binary"
+ENTRIES = "k1 int, k2 bigint, pos bigint, anchor bigint, hot boolean, before binary, after binary"
 
 
 def _context_task(least: int, k: int):
-    """Cuts the contexts of the wanted anchors out of their texts."""
+    """Cuts the contexts of the wanted anchors out of their texts; of equal rows that follow each other the first gives all."""
     names = [x.split()[0] for x in ENTRIES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key = None
         for batch in batches:
+            keys = list(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True))
+            batch = batch.filter(pa.array([a != b for a, b in zip(keys, [last_key, *keys], strict=False)], pa.bool_()))
+            last_key = keys[-1] if keys else last_key
+            if not batch.num_rows:
+                continue
             data, off = T.utf8(batch.column("text"))
             wanted = batch.column("wanted")
             rows = np.repeat(np.arange(batch.num_rows), np.diff(wanted.offsets.to_numpy()))
@@ -196,44 +206,137 @@ def interval_pairs(depths: list[int], left_rank: list[int], least_depth: int) ->
     return pairs
 
 
-def reach(anchor: np.ndarray, before: pa.Array, after: pa.Array, least: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """How far repeats around each entry's anchor extend to the left and right; 0, 0 where there is none."""
-    m = len(anchor)
-    right, n_right = _matrix(after, least)
-    left, n_left = _matrix(before, least - k, backward=True)
-    head = anchor.astype(">i8").view(np.uint8).reshape(m, 8)
-    keyed = np.ascontiguousarray(np.concatenate((head, right), axis=1))
-    sa = np.argsort(keyed.view(f"S{8 + least}").ravel(), kind="stable")
-    depth = np.zeros(m, np.int64)
-    depth[1:] = np.where((anchor[sa[1:]] == anchor[sa[:-1]]), _common(right, n_right, sa[:-1], sa[1:]), 0)
-    order = np.argsort(np.ascontiguousarray(left).view(f"S{least - k}").ravel(), kind="stable")
-    rank = np.empty(m, np.int64)
-    rank[order] = np.arange(m)
-    pairs = interval_pairs(depth.tolist(), rank[sa].tolist(), k)
-    to_left, to_right = np.zeros(m, np.int64), np.zeros(m, np.int64)
+def lcp_intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(depth, first, last) of all nodes of the common-prefix tree, last included; lcp[i] is the common prefix of entries i-1 and i."""
+    stack = [(0, 0)]
+    for i in range(1, len(lcp) + 1):
+        depth = lcp[i] if i < len(lcp) else 0
+        first = i - 1
+        while stack[-1][0] > depth:
+            top, first = stack.pop()
+            yield top, first, i - 1
+        if stack[-1][0] < depth:
+            stack.append((depth, first))
+
+
+def _sorted(strings: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Order of zero-padded strings; a string comes before those that only zero bytes make longer."""
+    by_length = np.argsort(lengths, kind="stable")
+    return by_length[np.argsort(strings[by_length], kind="stable")]
+
+
+class _Array:
+    """The enhanced suffix array of entries: order by (anchor, right context), common prefixes, ranks by left context."""
+
+    def __init__(self, anchor: np.ndarray, before: pa.Array, after: pa.Array, least: int, k: int):
+        m = len(anchor)
+        self.right, self.n_right = _matrix(after, least)
+        self.left, self.n_left = _matrix(before, least - k, backward=True)
+        head = anchor.astype(">i8").view(np.uint8).reshape(m, 8)
+        keyed = np.ascontiguousarray(np.concatenate((head, self.right), axis=1))
+        self.sa = sa = _sorted(keyed.view(f"S{8 + least}").ravel(), self.n_right)
+        self.depth = np.zeros(m, np.int64)
+        self.depth[1:] = np.where((anchor[sa[1:]] == anchor[sa[:-1]]), _common(self.right, self.n_right, sa[:-1], sa[1:]), 0)
+        self.order = _sorted(np.ascontiguousarray(self.left).view(f"S{least - k}").ravel(), self.n_left)
+        self.rank = np.empty(m, np.int64)
+        self.rank[self.order] = np.arange(m)
+
+
+def reach(anchor: np.ndarray, before: pa.Array, after: pa.Array, least: int, k: int, fine: int | None = None) -> tuple[np.ndarray, ...]:
+    """How far repeats of `least` bytes around each entry's anchor extend to the left and right, then those of `fine` bytes; 0, 0 where there is none."""
+    t = _Array(anchor, before, after, least, k)
+    out = [np.zeros(len(anchor), np.int64) for _ in range(4)]
+    pairs = interval_pairs(t.depth.tolist(), t.rank[t.sa].tolist(), k)
     if pairs:
         p = np.array(pairs, np.int64)
-        a, b, d = order[p[:, 0]], order[p[:, 1]], p[:, 2]
-        extension = _common(left, n_left, a, b)
-        ok = extension + d >= least
-        for x in (a[ok], b[ok]):
-            np.maximum.at(to_left, x, extension[ok])
-            np.maximum.at(to_right, x, d[ok])
-    return to_left, to_right
+        a, b, d = t.order[p[:, 0]], t.order[p[:, 1]], p[:, 2]
+        extension = _common(t.left, t.n_left, a, b)
+        for size, to_left, to_right in ((least, *out[:2]), (fine or least, *out[2:])):
+            ok = extension + d >= size
+            for x in (a[ok], b[ok]):
+                np.maximum.at(to_left, x, extension[ok])
+                np.maximum.at(to_right, x, d[ok])
+    return tuple(out)
+
+
+def groups_of(anchor: np.ndarray, before: pa.Array, after: pa.Array, copies: np.ndarray, size: int, least: int, k: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(left, right, entries) of all groups: strings of `size` bytes or more around an anchor that no context lets grow without losing an occurrence.
+
+    A node of the tree gives the right part. Its occurrences in left order have a common-prefix tree of their own; a node of that one is
+    a group if its occurrences come from two children of the first (different bytes follow), as its own children differ in the byte before.
+    An entry of several copies is a group of itself. The work is that of listing the occurrences.
+    """
+    t = _Array(anchor, before, after, least, k)
+    for i in np.flatnonzero(copies > 1).tolist():
+        if t.n_left[i] + t.n_right[i] >= size:
+            yield int(t.n_left[i]), int(t.n_right[i]), np.array([i])
+    depth = t.depth.tolist()
+    for d, lo, hi in lcp_intervals(depth):
+        if d < k:
+            continue
+        members = t.sa[lo : hi + 1]
+        child = np.cumsum(t.depth[lo : hi + 1] == d)
+        by_left = np.argsort(t.rank[members], kind="stable")
+        members, child = members[by_left], child[by_left]
+        common = np.zeros(len(members), np.int64)
+        common[1:] = _common(t.left, t.n_left, members[:-1], members[1:])
+        nodes = list(lcp_intervals(common.tolist()))
+        if d >= size and (common[1:] == 0).any():
+            nodes.append((0, 0, len(members) - 1))
+        for e, a, b in nodes:
+            if e + d >= size and (child[a : b + 1] != child[a]).any():
+                yield e, d, members[a : b + 1]
+
+
+REACH = "k1 int, k2 bigint, first bigint, last bigint, fine_first bigint, fine_last bigint"
+
+
+def _reaches(least: int, k: int, fine: int):
+    names = [x.split()[0] for x in REACH.split(", ")]
 
+    def solved(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        anchor, pos, k1, k2 = (t.column(c).to_numpy() for c in ("anchor", "pos", "k1", "k2"))
+        left, right, fine_left, fine_right = reach(anchor, t.column("before").combine_chunks(), t.column("after").combine_chunks(), least, k, fine)
+        ok = fine_right > 0
+        yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (k1, k2, pos - left, pos + right, pos - fine_left, pos + fine_right)], names)
 
-REACH = "k1 bigint, k2 bigint, first bigint, last bigint"
+    return solved
 
 
-def _shard_task(least: int, k: int):
-    names = [x.split()[0] for x in REACH.split(", ")]
+GROUPS = "group bigint, n_bytes bigint, open boolean, anchor bigint, context bigint, left bigint"
 
-    def solved(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(held).combine_chunks()
-        anchor, pos, k1, k2 = (t.column(c).to_numpy() for c in ("anchor", "pos", "k1", "k2"))
-        to_left, to_right = reach(anchor, t.column("before").combine_chunks(), t.column("after").combine_chunks(), least, k)
-        ok = to_right > 0
-        return pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (k1, k2, pos - to_left, pos + to_right)], names)
+
+def _own_anchors(text: bytes, least: int, k: int) -> set[int]:
+    at = np.arange(len(text) - k + 1)
+    return set(window_argmin(T.span_hash(T.prefix_hash(np.frombuffer(text, np.uint8)), at, at + k), least - k + 1).tolist())
+
+
+def _groups(size: int, least: int, k: int):
+    names = [x.split()[0] for x in GROUPS.split(", ")]
+
+    def solved(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        anchor, context, copies = (t.column(c).to_numpy() for c in ("anchor", "context", "copies"))
+        before, after = (t.column(c).combine_chunks() for c in ("before", "after"))
+        rows: list[tuple] = []
+        for left, right, members in groups_of(anchor, before, after, copies, size, least, k):
+            i = int(members[0])
+            text = before[i].as_py()[len(before[i].as_py()) - left :] + after[i].as_py()[:right]
+            if left not in _own_anchors(text, size, k):
+                continue  # chosen by what surrounds the string: only at its own anchors all occurrences meet
+            name = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "big", signed=True)
+            edge = left == least - k or right == least
+            rows += [(name, left + right, edge, a, c, left) for a, c in zip(anchor[members].tolist(), context[members].tolist(), strict=True)]
+            if len(rows) >= 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names)
+
+    return solved
+
+
+def _shard_task(solved):
+    """Whole anchors, about SHARD entries at a time, go to `solved`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -247,23 +350,23 @@ def _shard_task(least: int, k: int):
                 if cut < len(anchor):
                     if cut:
                         held.append(batch.slice(0, cut))
-                    yield solved(held)
+                    yield from solved(pa.Table.from_batches(held).combine_chunks())
                     batch = batch.slice(cut)
                     held, size = [], 0
             held.append(batch)
             size += batch.num_rows
             last = anchor[-1]
         if held:
-            yield solved(held)
+            yield from solved(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
-WINDOWS = "k1 bigint, k2 bigint, pos bigint, anchor bigint, shift bigint, win bigint"
+WINDOWS = "k1 int, k2 bigint, pos bigint, anchor bigint, shift bigint, win bigint"
 
 
 def _window_task(least: int, k: int):
-    """Hashes of all windows of `least` bytes that hold the anchor of an entry."""
+    """Hashes of all windows of `least` bytes that hold the anchor gram of an entry."""
     names = [x.split()[0] for x in WINDOWS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,10 +374,10 @@ def _window_task(least: int, k: int):
             k1, k2, pos, anchor = (batch.column(c).to_numpy() for c in ("k1", "k2", "pos", "anchor"))
             for i, (before, after) in enumerate(zip(batch.column("before").to_pylist(), batch.column("after").to_pylist(), strict=True)):
                 total = T.prefix_hash(np.frombuffer(before + after, np.uint8))
-                start = np.arange(len(before) + len(after) - least + 1)
+                start = np.arange(max(0, len(before) + k - least), max(0, min(len(before), len(before) + len(after) - least) + 1))
                 win = T.span_hash(total, start, start + least).view(np.int64)
                 n = len(start)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*(np.full(n, v[i]) for v in (k1, k2, pos, anchor)), len(before) - start, win)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*(np.full(n, v[i], v.dtype) for v in (k1, k2, pos, anchor)), len(before) - start, win)], names)
 
     return run
 
@@ -294,104 +397,199 @@ def _hot_task(keys: np.ndarray, least: int, k: int):
                 new = np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (pos[1:] < pos[:-1]) | (pos[1:] - (least - k) > pos[:-1] + least)))
                 first = np.flatnonzero(new)
                 last = np.concatenate((first[1:], [len(pos)])) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[first], k2[first], pos[first] - (least - k), pos[last] + least)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[first], k2[first], *2 * (pos[first] - (least - k), pos[last] + least))], names)
 
     return run
 
 
 def _key_columns(text: str, doc_id: str):
-    return [F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-1)).alias("k1"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k2"), F.coalesce(F.col(text), F.lit("")).alias("text")]
+    whole = F.coalesce(F.col(quoted(text)), F.lit(""))
+    return [F.hash(F.col(quoted(doc_id))).alias("k1"), F.xxhash64(whole).alias("k2"), whole.alias("text")]
+
 
+def _repeated(long: DataFrame, least: int, k: int, fine: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All anchors in text order, those that occur twice at least, and these counted by context with one place of each.
+
+    Most anchors are unique and go no further than their count by anchor. `several`: the anchor has different contexts.
+    """
+    found = written(long.mapInArrow(_anchor_task(least, k, fine), ANCHORS), "repeat-anchors")
+    counted = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high"))
+    counted = written(counted.where("n > 1").select("anchor", (F.col("low") < F.col("high")).alias("several")), "repeat-counts")
+    twice = written(found.join(counted, "anchor"), "repeat-twice")
+    forget(counted)
+    contexts = twice.groupBy("anchor", "context").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("several", "k1", "k2", "pos")))
+    return found, twice, written(contexts, "repeat-contexts")
+
+
+def _entries(long: DataFrame, contexts: DataFrame, group: int | None, least: int, k: int) -> DataFrame:
+    """The contexts cut out of their texts; `hot` if their anchor has more than `group` of them."""
+    hot = F.lit(False)
+    if group is not None:
+        large = contexts.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > group)
+        contexts, hot = contexts.join(large, "anchor", "left"), F.col("m").isNotNull()
+    wanted = contexts.select("k1", "k2", F.struct("pos", "anchor", hot.alias("hot")).alias("w")).groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted"))
+    return long.join(wanted, ["k1", "k2"]).mapInArrow(_context_task(least, k), ENTRIES)
+
+
+def _windows_twice(entries: DataFrame, size: int, k: int, names: tuple[str, str]) -> DataFrame:
+    """Spans around the anchors of entries whose windows of `size` bytes occur twice, counted by hash."""
+    windows = entries.mapInArrow(_window_task(size, k), WINDOWS)
+    twice = windows.groupBy("anchor", "shift", "win").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    hot = windows.join(twice, ["anchor", "shift", "win"]).groupBy("k1", "k2", "pos").agg(F.max("shift").alias("l"), (size - F.min("shift")).alias("r"))
+    return hot.select("k1", "k2", (F.col("pos") - F.col("l")).alias(names[0]), (F.col("pos") + F.col("r")).alias(names[1]))
 
-def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, k: int = K, group: int = GROUP, often: int = OFTEN) -> DataFrame:
-    """Per row key (k1, k2) the spans of bytes that repeats cover, not merged; keys without any are absent."""
+
+def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, k: int = K, group: int = GROUP, often: int = OFTEN, fine: int | None = None) -> DataFrame:
+    """Per row key (k1, k2) the spans of bytes that repeats cover, not merged; keys without any are absent.
+
+    first, last: of a repeat of `least` bytes or more (equal where there is only a shorter one); fine_first, fine_last: of `fine` bytes or more.
+    """
     small_batches(docs.sparkSession)
-    rows = docs.select(*_key_columns(text, doc_id))
-    long = rows.where(F.octet_length("text") >= least)
-    found = written(long.mapInArrow(_anchor_task(least, k), ANCHORS), "repeat-anchors")
-    contexts = written(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "pos"))), "repeat-contexts")
-    several = contexts.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
-    wanted = contexts.join(several, "anchor").select("k1", "k2", F.struct("pos", "anchor", (F.col("m") > group).alias("hot")).alias("w"))
-    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted"))
-    entries = written(long.join(wanted, ["k1", "k2"]).mapInArrow(_context_task(least, k), ENTRIES), "repeat-entries")
+    fine = fine or least
+    long = docs.select(*_key_columns(text, doc_id)).where(F.octet_length("text") >= fine)
+    found, twice, contexts = _repeated(long, least, k, fine)
+    entries = written(_entries(long, contexts.where("several"), group, least, k), "repeat-entries")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    single = entries.where("not hot").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_shard_task(least, k), REACH)
-    windows = entries.where("hot").mapInArrow(_window_task(least, k), WINDOWS)
-    twice = windows.groupBy("anchor", "shift", "win").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    hot = windows.join(twice, ["anchor", "shift", "win"]).groupBy("k1", "k2", "pos").agg(F.max("shift").alias("l"), (least - F.min("shift")).alias("r"))
-    hot = hot.select("k1", "k2", (F.col("pos") - F.col("l")).alias("first"), (F.col("pos") + F.col("r")).alias("last"))
+    single = entries.where("not hot").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_shard_task(_reaches(least, k, fine)), REACH)
     # Contexts of very many copies are few: their keys go to the map that merges their spans, all others through a join.
-    often = contexts.where(F.col("n") >= often).select("n").orderBy(F.desc("n")).limit(HOT_KEYS + 1).agg(F.count("*").alias("rows"), F.min("n").alias("n")).first()
-    bound = 2**62 if not often["rows"] else often["n"] if often["rows"] <= HOT_KEYS else often["n"] + 1
-    whole = found.join(contexts.where((F.col("n") > 1) & (F.col("n") < bound)).select("anchor", "context"), ["anchor", "context"], "left_semi")
-    whole = whole.select("k1", "k2", (F.col("pos") - (least - k)).alias("first"), (F.col("pos") + least).alias("last"))
-    all_ = single.unionByName(whole)
-    got = contexts.where(F.col("n") >= bound).select("anchor", "context").toArrow()
+    many = contexts.where(F.col("n") >= often).select("n").orderBy(F.desc("n")).limit(HOT_KEYS + 1).agg(F.count("*").alias("rows"), F.min("n").alias("n")).first()
+    bound = 2**62 if not many["rows"] else many["n"] if many["rows"] <= HOT_KEYS else many["n"] + 1
+    hottest = contexts.where(F.col("n") >= bound).select("anchor", "context")  # HOT_KEYS rows at most
+    rest = twice.join(F.broadcast(hottest), ["anchor", "context"], "left_anti") if many["rows"] else twice
+    whole = rest.join(contexts.where((F.col("n") > 1) & (F.col("n") < bound)).select("anchor", "context"), ["anchor", "context"], "left_semi")
+    span = lambda first, last: [(F.col("pos") - (least - k)).alias(first), (F.col("pos") + least).alias(last)]
+    all_ = single.unionByName(whole.select("k1", "k2", *span("first", "last"), *span("fine_first", "fine_last")))
+    got = hottest.toArrow()
     if got.num_rows:
         keys = np.sort(T.pair(*(got.column(c).to_numpy().view(U) for c in ("anchor", "context"))))
         all_ = all_.unionByName(found.mapInArrow(_hot_task(keys, least, k), REACH))
-    if not entries.where("hot").isEmpty():
-        all_ = all_.unionByName(hot)
-    return all_.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-
-
-def merge_spans(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((max(0, s["first"]), min(n, s["last"])) for s in spans or ()):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        elif b > a:
-            out.append((a, b))
+    hot = entries.where("hot")
+    if not hot.isEmpty():
+        none = F.lit(0).cast("bigint")
+        coarse = _windows_twice(hot, least, k, ("first", "last"))
+        all_ = all_.unionByName(coarse.select("*", F.col("first").alias("fine_first"), F.col("last").alias("fine_last")))
+        if fine < least:
+            short = _windows_twice(hot, fine, k, ("fine_first", "fine_last"))
+            all_ = all_.unionByName(short.select("*", none.alias("first"), none.alias("last")))
+    spans = ["first", "last", "fine_first", "fine_last"] if fine < least else ["first", "last"]
+    out = written(all_.groupBy("k1", "k2").agg(F.collect_set(F.struct(*spans)).alias("spans")), "repeat-spans")
+    forget(found, twice, contexts, entries)
     return out
 
 
-CUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+def maximal_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, k: int = K) -> DataFrame:
+    """The groups of the interval tree with all occurrences: one row per occurrence, (group, n_bytes, open, doc_id, first).
+
+    A group is a string of `least` bytes or more that occurs twice at least, and of which no longer string around the same anchor has
+    all occurrences (different bytes precede some, different bytes follow some). `group` is a hash of the string. Where it fills its
+    anchor's context of LEAST-K bytes before or LEAST from it, it is `open`: a longer repeat shows as overlapping open groups. Every
+    repeat of `least` bytes is part of a group; doc_id and first (bytes before it) are null and zero based as in the input.
+    Rows are in proportion to the occurrences listed. A task holds the different contexts of an anchor.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(quoted(doc_id)).alias("doc_id"), *_key_columns(text, doc_id)).where(F.octet_length("text") >= least)
+    long = rows.select("k1", "k2", "text")
+    _, found, contexts = _repeated(long, least, k, least)
+    entries = written(_entries(long, contexts, None, least, k), "repeat-entries")
+    entries = entries.dropDuplicates(["k1", "k2", "pos", "anchor"]).join(contexts.select("k1", "k2", "pos", "anchor", "context", F.col("n").alias("copies")), ["k1", "k2", "pos", "anchor"])
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = entries.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_shard_task(_groups(least, least, k)), GROUPS)
+    placed = grouped.join(found, ["anchor", "context"]).select("group", "n_bytes", "open", "k1", "k2", (F.col("pos") - F.col("left")).alias("first"))
+    ids = rows.select("k1", "k2", "doc_id").groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("rows"))
+    placed = placed.groupBy("group", "n_bytes", "k1", "k2", "first").agg(F.min("open").alias("open")).join(ids, ["k1", "k2"])
+    return placed.withColumn("row", F.explode(F.sequence(F.lit(1), "rows"))).select("group", "n_bytes", "open", "doc_id", "first")
+
+
+def merge_spans(first: np.ndarray, last: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Spans cut to a text of n bytes; those that touch or overlap become one."""
+    order = np.argsort(first, kind="stable")
+    a, b = np.maximum(first[order], 0), np.maximum.accumulate(np.minimum(last[order], n))
+    ok = b > a
+    a, b = a[ok], b[ok]
+    if not len(a):
+        return []
+    new = np.flatnonzero(np.concatenate(([True], a[1:] > b[:-1])))
+    return list(zip(a[new].tolist(), b[np.concatenate((new[1:], [len(a)])) - 1].tolist(), strict=True))
+
+
+def _merged(batch: pa.RecordBatch, names: tuple[str, str] = ("first", "last")) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
+    """Every text's bytes with its merged spans."""
+    spans = batch.column("spans")
+    off = np.concatenate(([0], np.cumsum(spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    flat = spans.flatten()
+    first, last = (flat.field(x).to_numpy() for x in names)
+    for i, text in enumerate(batch.column("text")):
+        raw = text.as_py().encode()
+        yield raw, merge_spans(first[off[i] : off[i + 1]], last[off[i] : off[i + 1]], len(raw))
+
+
+def _passages(raw: bytes, runs: list[tuple[int, int]], words: int) -> tuple[list[tuple[int, int]], int]:
+    """The runs of `words` words or more, and the words in them."""
+    counted = [(r, len(raw[r[0] : r[1]].split())) for r in runs]
+    return [r for r, n in counted if n >= words], sum(n for _, n in counted if n >= words)
+
+
+def _without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
+    edges = [0, *(x for r in runs for x in r), len(raw)]
+    return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def _cut_task(texts: bool):
+REPORT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, n_passage_words bigint"
+
+
+def _report_task(least: int, fine: bool, words: int):
+    names = [x.split()[0] for x in REPORT.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_bytes, removed, count, sha, kept_text = [], [], [], [], []
-            for raw, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                cut = merge_spans(spans, len(raw))
-                kept, at = [], 0
-                for a, b in cut:
-                    kept.append(raw[at:a])
-                    at = b
-                kept = b"".join([*kept, raw[at:]])
-                n_bytes.append(len(raw))
-                removed.append(len(raw) - len(kept))
-                count.append(len(cut))
-                sha.append(hashlib.sha256(kept).hexdigest())
-                kept_text.append(kept.decode("utf-8", "ignore"))  # a cut inside a character drops its rest
-            if texts:
-                i = batch.schema.get_field_index("spans")
-                batch = batch.set_column(i, "kept", pa.array(kept_text, pa.string())).append_column("n_removed", pa.array(removed, pa.int64()))
-                yield batch.drop_columns(["text"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n_bytes, removed, count)), pa.array(sha)], [x.split()[0] for x in CUT.split(", ")])
+            rows = []
+            short = _merged(batch, ("fine_first", "fine_last")) if fine else _merged(batch)
+            for (raw, cut), (_, runs) in zip(_merged(batch), short, strict=True):
+                cut = cut if len(raw) >= least else []
+                passages, n = _passages(raw, runs, words)
+                kept = _without(raw, cut)
+                rows.append((len(raw), len(raw) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), len(passages), n))
+            columns = zip(*rows, strict=True) if rows else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.string() if x == "kept_sha256" else pa.int64()) for x, c in zip(names, columns, strict=True))], ["doc_id", *names])
 
     return run
 
 
-def report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **names) -> DataFrame:
-    """Per document row: its bytes, those that repeats cover, the maximal covered runs, the digest of the rest."""
-    found = repeats(docs, text, doc_id, **names)
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), *_key_columns(text, doc_id))
-    return rows.join(found, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(_cut_task(False), CUT)
+def _cut_task(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for raw, runs in _merged(batch):
+                kept.append(_without(raw, _passages(raw, runs, words)[0] if words else runs).decode("utf-8", "ignore"))  # a cut inside a character drops its rest
+            yield batch.drop_columns(["spans", "text"]).append_column("kept", pa.array(kept, pa.string()))
+
+    return run
+
+
+def report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fine: int | None = None, words: int = PASSAGE_WORDS, least: int = LEAST, **names) -> DataFrame:
+    """Per document row: its bytes, those that repeats cover, the maximal covered runs, the digest of the rest; n_passages and
+    n_passage_words: runs covered by repeats of `fine` bytes (default `least`) that hold `words` white-space words or more, and their words."""
+    found = repeats(docs, text, doc_id, least=least, fine=fine, **names)
+    rows = docs.select(F.col(quoted(doc_id)).alias("doc_id"), *_key_columns(text, doc_id))
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {REPORT}"
+    return rows.join(found, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(_report_task(least, bool(fine) and fine < least, words), schema)
 
 
-def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **names) -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 0, **names) -> DataFrame:
     """docs with the repeated bytes cut out of the texts; all other columns stay as they are.
 
-    A character cut in the middle is dropped whole. Null texts stay null.
+    With `words`, covered runs of fewer white-space words stay. A character cut in the middle is dropped whole. Null texts stay null.
     """
     found = repeats(docs, text, doc_id, **names)
-    k1, k2, _ = _key_columns(text, doc_id)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), k1, k2, F.coalesce(F.col(text), F.lit("")).alias("text")).join(found, ["k1", "k2"], "left")
+    own, spans = free_name("_row", docs.columns), free_name("_spans", docs.columns)
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    at = docs.columns.index(text)
+    k1, k2, whole = _key_columns(f"c{at}", f"c{docs.columns.index(doc_id)}")
+    rows = numbered.select(F.struct(*numbered.columns).alias(own), k1, k2, whole).join(found.withColumnRenamed("spans", spans), ["k1", "k2"], "left")
     # Texts without a repeat do not pass through Python.
-    whole = rows.where("spans is null").select("row.*")
-    cut = rows.where("spans is not null").select(F.struct(*(F.col(f"row.{c}").alias(c) for c in docs.columns if c != text)).alias("row"), "text", "spans")
-    schema = f"row {cut.schema['row'].dataType.simpleString()}, kept string, n_removed bigint"
-    cut = cut.mapInArrow(_cut_task(True), schema)
-    return whole.unionByName(cut.select(*(F.col("kept").alias(c) if c == text else F.col(f"row.{c}") for c in docs.columns)))
+    untouched = rows.where(F.col(spans).isNull()).select(f"{own}.*")
+    rest = [c for c in numbered.columns if c != f"c{at}"]
+    cut = rows.where(F.col(spans).isNotNull()).select(F.struct(*(F.col(f"{own}.{c}").alias(c) for c in rest)).alias("row"), "text", F.col(spans).alias("spans"))
+    cut = cut.mapInArrow(_cut_task(words), f"row {cut.schema['row'].dataType.simpleString()}, kept string")
+    out = untouched.unionByName(cut.select(*(F.col("kept").alias(c) if c == f"c{at}" else F.col(f"row.{c}") for c in numbered.columns)))
+    return out.toDF(*docs.columns)

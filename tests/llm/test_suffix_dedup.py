@@ -2,46 +2,114 @@
 
 import collections
 import hashlib
-import math
 import random
-import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from newsflow.llm import suffix_dedup as D
 
 
-def test_report_equals_brute_force(spark, monkeypatch):
-    def brute(docs,least):
-        c=collections.Counter()
-        B=[(i,(t or "").encode()) for i,t in docs]
-        for _,b in B:
-            for p in range(len(b)-least+1): c[b[p:p+least]]+=1
-        out=[]
-        for i,b in B:
-            cov=[0]*len(b)
-            for p in range(len(b)-least+1):
-                if c[b[p:p+least]]>1: cov[p:p+least]=[1]*least
-            kept=bytes(x for x,y in zip(b,cov) if not y)
-            sp=sum(1 for j in range(len(cov)) if cov[j] and (j==0 or not cov[j-1]))
-            out.append((i,len(b),sum(cov),sp,hashlib.sha256(kept).hexdigest()))
-        return sorted(out,key=str)
-    for seed,least,k,piece,shard,group in ((1,40,8,1<<20,40000,100000),(2,40,8,300,50,100000),(3,400,32,1<<20,40000,100000),(4,40,8,1<<20,100,3),(5,40,8,1<<20,100,100000)):
-        random.seed(seed); monkeypatch.setattr(D, 'PIECE', piece); monkeypatch.setattr(D, 'SHARD', shard)
-        al="abé\x00 "
-        scale=least/40
-        def rnd(n): return "".join(random.choices(al,k=int(n*scale)))
-        pas=[rnd(random.randint(30,90)) for _ in range(6)]
-        docs=[]
-        for i in range(150):
-            t=rnd(random.randint(0,60))
-            for _ in range(random.randint(0,3)):
-                p=random.choice(pas); a=random.randint(0,len(p)//3); t+=p[a:]+rnd(random.randint(0,50))
-                if random.random()<.2: t+=p+"x"+p
-            docs.append((i,t))
-        docs+=[(900,None),(901,""),(902,"a"*int(300*scale)),(903,"ab"*int(100*scale)),docs[5],docs[5],(904,docs[7][1]),(None,docs[8][1])]
-        df=spark.createDataFrame(docs,"doc_id bigint,text string")
-        got=sorted((tuple(r) for r in D.report(df,least=least,k=k,group=group,often=3 if seed>2 else 500).collect()),key=str)
-        exp=brute(docs,least)
-        assert got==exp,(seed,[(a,b) for a,b in zip(got,exp) if a!=b][:3])
-        dd=D.deduplicate(df.withColumn("spans",F.lit(1)),least=least,k=k,often=3).collect(); assert len(dd)==len(docs)
+def covered(texts, least):
+    """Per text the bytes that repeated strings of `least` bytes cover."""
+    seen = collections.Counter(b[p : p + least] for b in texts for p in range(len(b) - least + 1))
+    out = []
+    for b in texts:
+        cov = bytearray(len(b))
+        for p in range(len(b) - least + 1):
+            if seen[b[p : p + least]] > 1:
+                cov[p : p + least] = b"\1" * least
+        out.append(cov)
+    return out
+
+
+def runs(cov):
+    edges = [i for i in range(len(cov) + 1) if (i < len(cov) and cov[i]) != (i > 0 and cov[i - 1] == 1)]
+    return list(zip(edges[::2], edges[1::2], strict=True))
+
+
+def corpus(seed, scale=1):
+    random.seed(seed)
+    rnd = lambda n: "".join(random.choices("abé\x00 ", k=int(n * scale)))
+    passages = [rnd(random.randint(30, 90)) for _ in range(6)]
+    docs = []
+    for i in range(150):
+        t = rnd(random.randint(0, 60))
+        for _ in range(random.randint(0, 3)):
+            p = random.choice(passages)
+            t += p[random.randint(0, len(p) // 3) :] + rnd(random.randint(0, 50))
+            if random.random() < 0.2:
+                t += p + "x" + p
+        docs.append((i, t))
+    return docs + [(900, None), (901, ""), (902, "a" * int(300 * scale)), (903, "ab" * int(100 * scale)), docs[5], docs[5], (904, docs[7][1]), (None, docs[8][1])]
+
+
+@pytest.mark.parametrize("seed,least,k,fine,piece,shard,group", [(1, 40, 8, None, 1 << 20, 40000, 100000), (2, 40, 8, 25, 300, 50, 100000), (3, 400, 32, 256, 1 << 20, 40000, 100000), (4, 40, 8, 20, 1 << 20, 100, 3), (5, 40, 8, 25, 1 << 20, 100, 100000)])
+def test_report_equals_brute_force(spark, monkeypatch, seed, least, k, fine, piece, shard, group):
+    monkeypatch.setattr(D, "PIECE", piece)
+    monkeypatch.setattr(D, "SHARD", shard)
+    docs = corpus(seed, least / 40)
+    texts = [(t or "").encode() for _, t in docs]
+    want = []
+    for (i, _), b, coarse, short in zip(docs, texts, covered(texts, least), covered(texts, fine or least), strict=True):
+        kept = bytes(x for x, c in zip(b, coarse, strict=True) if not c)
+        words = [n for n in (len(b[x:y].split()) for x, y in runs(short)) if n >= 9]
+        want.append((i, len(b), sum(coarse), len(runs(coarse)), hashlib.sha256(kept).hexdigest(), len(words), sum(words)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    how = {"least": least, "k": k, "often": 3 if seed > 2 else 500}
+    got = [tuple(r) for r in D.report(df, group=group, fine=fine, words=9, **how).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("words", [0, 6])
+def test_deduplicate_cuts_runs_and_keeps_odd_columns(spark, words):
+    docs = corpus(6)
+    texts = [(t or "").encode() for _, t in docs]
+    want = []
+    for (i, t), b, cov in zip(docs, texts, covered(texts, 25), strict=True):
+        cut = [(x, y) for x, y in runs(cov) if len(b[x:y].split()) >= words]
+        rest = b"".join(b[y:x] for y, x in zip([0, *(y for _, y in cut)], [*(x for x, _ in cut), len(b)], strict=True))
+        want.append((str(i), None if t is None else rest.decode("utf-8", "ignore"), 1, "x"))
+    df = spark.createDataFrame([(str(i), t) for i, t in docs], "doc_id string, text string").withColumn("spans", F.lit(1)).withColumn("a.b", F.lit("x"))
+    got = D.deduplicate(df, least=25, k=8, words=words)
+    assert got.columns == df.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_groups_are_the_maximal_repeats(spark):
+    docs = corpus(7)[:60] + corpus(7)[150:]
+    least, k = 30, 8
+    texts = [(t or "").encode() for _, t in docs]
+    places = collections.defaultdict(list)
+    for d, b in enumerate(texts):
+        for p in range(len(b)):
+            for n in range(least, min(len(b) - p, 3 * least) + 1):
+                places[b[p : p + n]].append((d, p))
+    want = {}
+    for s, at in places.items():
+        if len(at) < 2 or len(s) == 3 * least:
+            continue
+        before = {texts[d][p - 1] if p else f"start{d}" for d, p in at}
+        after = {texts[d][p + len(s)] if p + len(s) < len(texts[d]) else f"end{d}" for d, p in at}
+        if len(before) > 1 and len(after) > 1:
+            want[s] = sorted((str(docs[d][0]), p) for d, p in at)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got, is_open = collections.defaultdict(list), {}
+    by_id = {i: b for (i, _), b in zip(docs, texts, strict=True)}
+    for r in D.maximal_repeats(df, least=least, k=k).collect():
+        s = by_id[r.doc_id][r.first : r.first + r.n_bytes]
+        got[s].append((str(r.doc_id), r.first))
+        is_open[s] = r.open
+    for s in got:
+        assert sorted(got[s]) == sorted((str(docs[d][0]), p) for d, p in places[s]) or len(s) > 3 * least, s  # all occurrences, none twice
+        assert is_open[s] or s in want or len(s) >= 3 * least, s
+    # What fits into the context of one of its anchors is found as it is.
+    fits = [s for s in want if any(a <= least - k and len(s) - a <= least for a in D._own_anchors(s, least, k))]
+    assert set(fits) <= set(got) and len(fits) > 50
+    # Every byte that repeats is part of a group.
+    cover = [bytearray(len(b)) for b in texts]
+    for s in got:
+        for d, p in places[s]:
+            cover[d][p : p + len(s)] = b"\1" * len(s)
+    assert cover == covered(texts, least)
+    assert D.maximal_repeats(df.limit(0), least=least, k=k).count() == 0
