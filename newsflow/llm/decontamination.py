@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._session import free_name, small_batches, written
+from ._session import quoted, small_batches, written
 
 U = np.uint64
 K = 10
@@ -165,8 +165,8 @@ def _task(ids: list[str], hashes: np.ndarray, bounds: np.ndarray, k: int):
         columns = [doc_ids, np.diff(own).tolist(), spans, [sorted(set(x)) for x in names], *([b[j] for b in best] for j in range(3))]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SPANS, strict=True)], schema=_SPANS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = _Items(ids, hashes, bounds, k)
+    def run(batches: Iterator[pa.RecordBatch], items: _Items | None = None) -> Iterator[pa.RecordBatch]:
+        items = items or _Items(ids, hashes, bounds, k)
         held_ids: list[int] = []
         held: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
@@ -188,12 +188,10 @@ def _task(ids: list[str], hashes: np.ndarray, bounds: np.ndarray, k: int):
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, k: int = K, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document row: its number of words, covered word spans, occurring items, longest verbatim match."""
+    """Per document row: its number of words, covered word spans, occurring items, longest verbatim match. Ids are integers."""
     small_batches(docs.sparkSession)
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = -(-size // BLOCK_BYTES) or 1
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    items, blocks = _items(benchmark, item_id, item_text)
+    rows = docs.select(F.col(quoted(doc_id)).cast("bigint").alias("doc_id"), F.col(quoted(text)).alias("text"))
     if blocks == 1:
         return rows.mapInArrow(_task(*_hashed(items), k), SPANS)
     # A key for each row, as document ids may repeat.
@@ -206,6 +204,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, k: int = K, text: str = "text
     return keyed.select("row", "doc_id").join(by_row, "row").drop("row")
 
 
+def _items(benchmark: DataFrame, item_id: str, item_text: str) -> tuple[DataFrame, int]:
+    """id and text of the items, and the number of blocks that they are read in."""
+    items = benchmark.select(F.coalesce(F.col(quoted(item_id)).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(quoted(item_text)), F.lit("")).alias("text"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return items, -(-size // BLOCK_BYTES) or 1
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -236,9 +241,30 @@ def report(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
         (F.size("spans") > 0).alias("contaminated"), F.col("longest").alias("longest_match"), "longest_item", "longest_at")
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **names) -> DataFrame:
-    """docs without the documents that hold a window of an item. Rows go by a 64-bit hash of id and text, so ids may repeat and be null."""
-    key, hit = free_name("_key", docs.columns), free_name("_bad", docs.columns)
-    keyed = docs.withColumn(key, F.xxhash64(F.col(doc_id).cast("bigint"), F.coalesce(F.col(text), F.lit(""))))
-    bad = matches(keyed, benchmark, doc_id=key, text=text, **names).where(F.size("spans") > 0).select(F.col("doc_id").alias(hit))
-    return keyed.join(bad, F.col(key) == F.col(hit), "left_anti").select(*docs.columns)
+def _clean_task(ids: list[str], hashes: np.ndarray, bounds: np.ndarray, k: int, at: int):
+    """The rows whose text (column `at`) no item occurs in, as they came."""
+    spans = _task(ids, hashes, bounds, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = _Items(ids, hashes, bounds, k)
+        for batch in batches:
+            numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], ["doc_id", "text"])
+            clean = np.ones(batch.num_rows, bool)
+            for found in spans(iter([numbered]), items):
+                hit = found.column("spans").value_lengths().to_numpy() > 0
+                clean[found.column("doc_id").to_numpy()[hit]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, k: int = K, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs without the documents that hold a window of an item. Every row is judged by its own text where it is read: ids, which may
+    repeat, be null or have any type, play no part, nothing is shuffled, and columns may have any names. A block of items is a pass."""
+    small_batches(docs.sparkSession)
+    items, blocks = _items(benchmark, item_id, item_text)
+    at = docs.columns.index(text)
+    out = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    for b in range(blocks):
+        out = out.mapInArrow(_clean_task(*_hashed(items.where(F.crc32("id") % blocks == b)), k, at), out.schema)
+    return out.toDF(*docs.columns)

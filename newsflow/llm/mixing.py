@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._session import written
+from ._session import quoted, written
 
 WEIGHTS, SHARE, EPOCHS, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, "mix-1"
 BUCKETS = 4096
@@ -67,13 +67,14 @@ def _bucket() -> Column:
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: str = SEED, columns: list[str] | None = None, **how) -> DataFrame:
     """docs (or the given columns of it) with size, source_size, target and taken, the words that the mix takes of each row.
 
-    The plan has a row per source and is small, so Spark joins it by broadcast below its own threshold, else by shuffle.
+    Columns of docs that are named like one of these four, in any case, are replaced; all others stay, whatever their names.
+    The plan has a row per source; Spark broadcasts it below its own threshold, else shuffles.
     """
-    clash = [c for c in docs.columns if c in ("size", "h", "bucket", "_source", "source_size", "target", "whole", "rest", "cut", "before", "taken", "_src")]
-    docs = docs.drop(*clash)
-    columns = [c for c in (columns or docs.columns) if c in docs.columns]
-    wide = docs.select(*columns, F.col(source).alias("_src"), n_words(text).alias("size"), order_key(doc_id, seed))
-    measured = docs.select(F.col(source).alias("source"), n_words(text).alias("size"), order_key(doc_id, seed))
+    made = {"size", "source_size", "target", "taken"}
+    kept = [c for c in (columns or docs.columns) if c in docs.columns and c.lower() not in made]
+    row = F.struct(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(kept))).alias("row") if kept else F.lit(None).alias("row")
+    wide = docs.select(row, F.col(quoted(source)).alias("_src"), n_words(quoted(text)).alias("size"), order_key(quoted(doc_id), seed))
+    measured = docs.select(F.col(quoted(source)).alias("source"), n_words(quoted(text)).alias("size"), order_key(quoted(doc_id), seed))
     goal = plan(measured, **how)
     df = wide.withColumn("bucket", _bucket()).join(goal, F.col("_src").eqNullSafe(F.col("_source")))
     inside = F.col("bucket") == F.col("cut")
@@ -83,4 +84,4 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     part = df.where(inside).withColumn("extra", F.least("size", F.greatest(left, zero)))
     whole = df.where(~F.coalesce(inside, F.lit(False))).withColumn("extra", F.when(F.col("bucket") < F.col("cut"), F.col("size")).otherwise(zero))
     out = part.unionByName(whole)
-    return out.select(*columns, "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))
+    return out.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(kept)), "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from . import _text as T
-from ._session import small_batches
+from ._session import quoted, small_batches
 
 U = np.uint64
 FIT_ROWS = 6_000
@@ -152,9 +152,10 @@ def _feature_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", rows: int = FIT_ROWS) -> Model:
     """labels: the rows to learn from; at most `rows` of them, those of least id hash, are used."""
     small_batches(docs.sparkSession)
-    hashed = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("label"))
+    ident, label = F.col(quoted(doc_id)), quoted(label)
+    hashed = labels.where(F.col(label).isNotNull() & ident.isNotNull()).select(ident.alias("_id"), F.col(label).cast("int").alias("label"))
     sample = hashed.orderBy(F.xxhash64("_id"), "_id", "label").limit(rows)
-    joined = docs.select(F.col(doc_id).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
+    joined = docs.select(ident.alias("_doc"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text")).join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
     got = joined.select("label", "text").mapInArrow(_feature_task, "label int, features array<int>").toArrow()
     listed = got.column("features").combine_chunks()
     values, offsets = listed.flatten().to_numpy(), np.concatenate(([0], np.cumsum(np.asarray(listed.value_lengths()))))
@@ -167,22 +168,21 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score and predicted appended to their columns (columns of these names are replaced)."""
+    """docs with score and predicted appended; columns of these names, in any case, are replaced, all others stay, whatever their names."""
     small_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    docs = docs.drop("score", "predicted")
-    shared = spark.sparkContext.broadcast(model)
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("score", "predicted")))
+    at = docs.columns.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in _blocks(batch.rename_columns([text_name if c == text else c for c in batch.schema.names])):
+            names = [f"c{i}" for i in range(batch.num_columns)]
+            names[at] = "text"
+            for part in _blocks(batch.rename_columns(names)):
                 s = m.scores(part.column("text"))
-                out = part.rename_columns(batch.schema.names)
-                yield out.append_column("score", pa.array(s)).append_column("predicted", pa.array((s >= threshold).astype(np.int32)))
-
-    text_name = "text"
-    if text != "text" and "text" in docs.columns:
-        raise ValueError("another column is named text")
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    return docs.mapInArrow(run, schema)
+                yield part.append_column("score", pa.array(s)).append_column("predicted", pa.array((s >= threshold).astype(np.int32)))
+
+    numbered = StructType([StructField("text" if i == at else f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)])
+    schema = StructType([*numbered.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    return docs.toDF(*numbered.names).mapInArrow(run, schema).toDF(*docs.columns, "score", "predicted")

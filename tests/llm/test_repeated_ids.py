@@ -29,3 +29,14 @@ def test_remove_keeps_clean_documents_of_an_id(spark, id_):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = decontamination.remove(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, rows[1:]))
+
+
+def test_remove_by_blocks_and_odd_columns(spark, monkeypatch):
+    items = [prose(14) for _ in range(6)]
+    rows = [(str(i), f"{prose(20)} {items[i % 6] if i % 4 == 1 else ''} {prose(20)}", "x", 1) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, `a.b` string, _key int")
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 200)
+    got = decontamination.remove(docs, spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string"))
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == sorted(r for i, r in enumerate(rows) if i % 4 != 1)
+    assert decontamination.remove(docs, spark.createDataFrame([], "item_id bigint, text string")).count() == 40

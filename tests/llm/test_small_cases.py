@@ -1,7 +1,12 @@
 """Nulls, empty tables, ties, clashing columns and round trips of the other operators."""
 
 import hashlib
+import itertools
+import math
+import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +54,82 @@ def test_mixing(docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_and_scores_keep_odd_columns(spark, docs):
+    odd = docs.withColumn("Size", F.lit("s")).withColumn("a.b", F.lit("d"))
+    for name in ("h", "bucket", "rest", "cut", "before", "whole", "extra", "row", "_src", "c0"):
+        odd = odd.withColumn(name, F.lit("mine"))
+    got = mixing.mix(odd)
+    assert got.columns == [c for c in odd.columns if c != "Size"] + ["size", "source_size", "target", "taken"]
+    assert {tuple(r) for r in got.select("`a.b`", "h", "bucket", "rest", "cut", "before", "whole", "extra", "row", "_src", "c0").collect()} == {("d", *["mine"] * 10)}
+    plain = sorted(str((r.doc_id, r.taken)) for r in mixing.mix(docs).collect())
+    assert sorted(str((r.doc_id, r.taken)) for r in got.collect()) == plain
+    body = docs.withColumnRenamed("text", "body").withColumn("text", F.lit("other")).withColumn("SCORE", F.lit(1)).withColumn("a.b", F.lit("d"))
+    model = quality_classifier.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int"))
+    scored = quality_classifier.score(body, model, text="body")
+    assert scored.columns == [c for c in body.columns if c != "SCORE"] + ["score", "predicted"]
+    want = sorted((str(r.doc_id), r.score) for r in quality_classifier.score(docs, model).collect())
+    assert sorted((str(r.doc_id), r.score) for r in scored.collect()) == want and {r.text for r in scored.collect()} == {"other"}
+
+
+def brute_ratios(sets, labels):
+    """Log of the smoothed shares of texts with each indicator, label 1 against 0; 0 where fewer than three texts have it."""
+    have = [[sum(f in s for s, y in zip(sets, labels, strict=True) if y == c) for f in range(max(map(max, sets)) + 1)] for c in (1, 0)]
+    n = [sum(y == c for y in labels) for c in (1, 0)]
+    return [math.log((a + 1) / (n[0] + 2)) - math.log((b + 1) / (n[1] + 2)) if a + b > 2 else 0.0 for a, b in zip(*have, strict=True)]
+
+
+def test_classifier_against_brute_force():
+    """Indicators, ratios, the optimum of the dual problem, and the calibration."""
+    random.seed(4)
+    texts = [" ".join(random.choices(["alpha", "beta", "gamma", "delta"] if i % 3 else ["alpha", "spam!", "WIN", "9"], k=random.randint(3, 9))) for i in range(60)]
+    labels = np.array([int(i % 3 > 0) if i % 7 else int(i % 3 == 0) for i in range(60)])
+    text, feature = quality_classifier.features(pa.array(texts + [None, ""]))
+    sets = [feature[text == i] for i in range(60)]
+    assert not (text >= 60).any()
+    kinds = lambda t: len({tuple(quality_classifier._CLASS[list(t.encode()[i : i + 3])]) for i in range(len(t.encode()) - 2)})
+    for t, s in zip(texts, sets, strict=True):
+        w = t.lower().split()
+        run = max(len(list(g)) for _, g in itertools.groupby(w))
+        grams = [f for f in s if f < 1 << quality_classifier.WORD_BITS]
+        assert len(set(w) | set(zip(w, w[1:]))) - 1 <= len(grams) <= len(set(w) | set(zip(w, w[1:])))  # hashed, so one may collide
+        assert len(s) - len(grams) == kinds(t) + sum(run >= r for r in quality_classifier.RUNS)
+    model = quality_classifier.learn(sets, labels)
+    held = np.arange(60) % 5 == 4
+    rows, y = [sets[i] for i in np.flatnonzero(~held)], np.where(labels[~held] > 0, 1, -1)
+    want = np.zeros(quality_classifier.FEATURES)
+    ratios = brute_ratios([set(r.tolist()) for r in rows], labels[~held].tolist())
+    want[: len(ratios)] = ratios
+    w, bias = quality_classifier.descend(rows, y, want)
+    assert np.allclose(model.weights, w * want) and model.bias == bias
+    # No change of the weights along coordinate directions or at random lowers the primal objective of the long-run solution much.
+    w, bias = quality_classifier.descend(rows, y, want, epochs=400)
+    share = [(y < 0).mean(), (y > 0).mean()]
+    x = np.zeros((len(rows), quality_classifier.FEATURES + 1))
+    for i, r in enumerate(rows):
+        x[i, r], x[i, -1] = want[r] / math.sqrt(len(r)), 1
+    cost = np.where(y > 0, 0.5 / share[1], 0.5 / share[0])
+    primal = lambda v: v @ v / 2 + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+    best = np.append(w, bias)
+    at = primal(best)
+    dual = brute_dual(x @ x.T, y, cost)
+    assert at - dual <= 1e-3 * at and dual <= at + 1e-6
+    # The calibration solves its two equations, up to its slight ridge.
+    margin = x[:, :-1] @ w + bias
+    a, b = quality_classifier._logistic(margin, y)
+    n1, n0 = (y > 0).sum(), (y < 0).sum()
+    gap = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2)) - 1 / (1 + np.exp(-(a * margin + b)))
+    assert abs(gap @ margin - 1e-3 * a) < 1e-4 and abs(gap.sum() - 1e-3 * b) < 1e-4
+
+
+def brute_dual(kernel, y, cost):
+    """The greatest value of the dual, by projected gradient steps."""
+    q = kernel * np.outer(y, y)
+    alpha, step = np.zeros(len(y)), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(40_000):
+        alpha = np.clip(alpha + step * (1 - q @ alpha), 0, cost)
+    return alpha.sum() - alpha @ q @ alpha / 2
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/\r\nX: y", "<p>é</p>"), (2, "http://b", "<p>é</p>"), (3, None, None), (4, "u", ""), (5, "u", "z" * 70000)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("payload", F.lit(1)).withColumn("address", F.lit(1))
