@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import written
+from ._session import forget, written
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
         large = _nearest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _nearest(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "components")
+        before, now = now, written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "components")
+        forget(before)
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if new == state:
             break

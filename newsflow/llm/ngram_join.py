@@ -5,10 +5,11 @@ Texts are sets of 5-word n-grams (words `[^\\x20\\x09-\\x0D]+`, A-Z lowered); a
    hashes of `rows` minima each. `plan` picks rows and bands for the wanted recall at the threshold.
 2. Band hashes are shuffled. A bucket never expands to pairs: each of its nodes is linked to the bucket's least
    node (map-side minimum, then a join), and components of these links are the candidate families.
-3. Texts of families are fetched once and verified on full sets. A family is cut into blocks of BLOCK nodes; a task
-   gets two blocks and counts common n-grams by matrix products. It returns, per node, the number of
-   linked documents and the least node it is connected to: rows in proportion to the nodes, not to the pairs.
-   All pairs of a family are verified, also those that share no band.
+3. Texts of families are fetched once and verified on full sets. A family of up to BLOCK nodes and BLOCK_GRAMS n-grams is one
+   task. A larger one is cut into cells: nodes that reach the same least node within 2**JUMPS links, at most a block at a time; a task
+   gets two cells, and only cells with a common band meet. So a long chain costs in proportion to its length, and m near copies of
+   each other, all of them links, m^2 / BLOCK^2 tasks. A task counts common n-grams by matrix products and returns, per node, the number
+   of linked documents and the least node it is connected to: rows in proportion to the nodes, not to the pairs.
 4. Verified links give the classes: connected components again.
 
 Defined cases: texts without words (null, empty) are equal to each other and like no other text; equal texts under
@@ -27,14 +28,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._session import free_name, small_batches, written
+from ._session import forget, free_name, quoted, small_batches, written
 from .graph import components
 
 U = np.uint64
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: MinHash values that a text may cost.
 HASHES = 80
-BLOCK = 1024
+#: Texts, and n-grams of them, that a task holds of one cell.
+BLOCK, BLOCK_GRAMS = 1024, 2_000_000
+#: Doublings of the links that a cell spans.
+JUMPS = 4
 NO_ID = -(2**63)
 
 
@@ -80,10 +84,10 @@ def _node_ids(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _text_key(text: str) -> Column:
     """With the id it tells rows of different texts apart (64 bits)."""
-    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return F.xxhash64(F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")))
 
 
-SKETCH = "doc_id bigint, key bigint, node bigint, bands array<bigint>"
+SKETCH = "doc_id bigint, key bigint, node bigint, grams bigint, bands array<bigint>"
 
 
 def _sketch_task(n: int, bands: int, rows: int):
@@ -108,7 +112,7 @@ def _sketch_task(n: int, bands: int, rows: int):
                 offsets = np.zeros(part.num_rows + 1, np.int32)
                 offsets[1:] = np.cumsum((np.diff(b) > 0) * bands)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(_node_ids(h, b)), lists], ["doc_id", "key", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(_node_ids(h, b)), pa.array(np.diff(b)), lists], ["doc_id", "key", "node", "grams", "bands"])
 
     return run
 
@@ -170,7 +174,7 @@ def _verify_task(n: int, threshold: float):
         held: list[pa.RecordBatch] = []
         now = None
         for batch in batches:
-            keys = [batch.column(c).to_numpy() for c in ("family", "low", "high")]
+            keys = [batch.column(c).to_numpy() for c in ("low", "high")]
             if not batch.num_rows:
                 continue
             new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
@@ -199,32 +203,63 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N
     return out.select(real("doc_id"), real("class_id"), real("text_class"), "n_links", "class_size")
 
 
+def _cells(large: DataFrame, star: DataFrame, bucket: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, cell) of the nodes of large families, and the pairs (low, high) of cells that have a band in common."""
+    home = written(large.join(star.groupBy("node").agg(F.min("root").alias("home")), "node", "left").select("node", "grams", F.least("node", "home").alias("home")), "join-homes")
+    for _ in range(JUMPS):
+        after = home.select(F.col("node").alias("home"), F.col("home").alias("next"))
+        before, home = home, written(home.join(after, "home").select("node", "grams", F.col("next").alias("home")), "join-homes")
+        forget(before)
+    parts = home.groupBy("home").agg(F.greatest(F.count("*") / BLOCK, F.sum("grams") / BLOCK_GRAMS).alias("blocks"))
+    cells = home.join(parts, "home").select("node", F.xxhash64("home", F.pmod(F.hash("node"), F.ceil("blocks").cast("int"))).alias("cell"))
+    cells = written(cells, "join-cells")
+    held = written(bucket.join(cells, "node").select("band", "cell").distinct(), "join-held")
+    pairs = held.select("band", F.col("cell").alias("low")).join(held.select("band", F.col("cell").alias("high")), "band").where("low <= high")
+    return cells, written(pairs.select("low", "high").distinct(), "join-pairs")
+
+
+def _tasks(nodes: DataFrame) -> DataFrame:
+    """node, cell, low, high: what each verification, named by its pair of cells, gets to see."""
+    bucket = nodes.select("node", F.explode("bands").alias("band"))
+    least = bucket.groupBy("band").agg(F.min("node").alias("root"), F.count("*").alias("size")).where("size > 1")
+    star = written(bucket.join(least, "band").where("node <> root").select("node", "root", "band"), "join-star")
+    links = star.select("node", "root").distinct()
+    family = components(links, "node", "root").withColumnRenamed("component", "family").join(nodes.select("node", "grams"), "node")
+    size = family.groupBy("family").agg(F.count("*").alias("m"), F.sum("grams").alias("g"))
+    sized = written(family.join(size, "family").withColumn("large", (F.col("m") > BLOCK) | (F.col("g") > 2 * BLOCK_GRAMS)), "join-families")
+    small = sized.where("not large").select("node", F.col("family").alias("cell"), F.col("family").alias("low"), F.col("family").alias("high"))
+    large = sized.where("large").select("node", "grams")
+    if large.isEmpty():
+        return small
+    shared = star.select("node", "band").union(star.select(F.col("root").alias("node"), "band")).distinct()
+    cells, pairs = _cells(large, links, shared)
+    met = pairs.select(F.col("low").alias("cell"), "low", "high").union(pairs.where("low < high").select(F.col("high").alias("cell"), "low", "high"))
+    return small.union(cells.join(met, "cell").select("node", "cell", "low", "high"))
+
+
 def _classes(docs: DataFrame, text: str, doc_id: str, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
     """The written sketch of every row, and for each node its least id and this row's text key, its copies, links and component."""
     spark = docs.sparkSession
     small_batches(spark)
     bands, rows = plan(threshold, recall)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), _text_key(text).alias("key"), F.col(text).alias("text"))
+    texts = docs.select(F.coalesce(F.col(quoted(doc_id)).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), _text_key(text).alias("key"), F.col(quoted(text)).alias("text"))
     sketch = written(texts.mapInArrow(_sketch_task(n, bands, rows), SKETCH), "join-sketch")
-    nodes = written(sketch.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands")).select("node", F.col("least.doc_id").alias("text_class"), F.col("least.key").alias("key"), "copies", "bands"), "join-nodes")
-    bucket = nodes.select("node", F.explode("bands").alias("band"))
-    least = bucket.groupBy("band").agg(F.min("node").alias("root"), F.count("*").alias("size")).where("size > 1")
-    star = bucket.join(least, "band").where("node <> root").select("node", "root").distinct()
-    family = components(star, "node", "root").withColumnRenamed("component", "family")
-    sized = family.join(family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "family")
-    member = sized.join(nodes.select("node", "text_class", "key", "copies"), "node").withColumn("block", F.pmod(F.hash("node"), "blocks"))
-    member = member.withColumnRenamed("text_class", "doc_id")
+    grouped = sketch.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.count("*").alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
+    nodes = written(grouped.select("node", F.col("least.doc_id").alias("text_class"), F.col("least.key").alias("key"), "copies", "grams", "bands"), "join-nodes")
+    todo = written(_tasks(nodes), "join-tasks")
     # By id and text: another text under a repeated id is not fetched, and copies of a row only once.
-    one = texts.join(member, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
-    fetched = one.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    fetched = fetched.select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "copies", "text")
-    tasks = fetched.repartition(parts, "family", "low", "high").sortWithinPartitions("family", "low", "high")
+    wanted = nodes.join(todo.select("node").distinct(), "node", "left_semi").select("node", F.col("text_class").alias("doc_id"), "key", "copies")
+    one = texts.join(wanted, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("node", "copies", "text")
+    fetched = one.join(todo.withColumnRenamed("cell", "block"), "node")
+    tasks = fetched.select("low", "high", "block", "node", "copies", "text").repartition(parts, "low", "high").sortWithinPartitions("low", "high")
     verdicts = written(tasks.mapInArrow(_verify_task(n, threshold), VERDICTS), "join-verdicts")
     linked = components(verdicts.where("root <> node"), "node", "root")
     links = verdicts.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.select("node", "text_class", "key", "copies").join(linked, "node", "left").join(links, "node", "left")
-    return sketch, written(known.select("node", "text_class", "key", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "join-known")
+    known = written(known.select("node", "text_class", "key", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "join-known")
+    forget(nodes, todo, verdicts)
+    return sketch, known
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -234,6 +269,6 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n:
     key, kept_key = free_name("_key", docs.columns), free_name("_keep_key", docs.columns)
     _, known = _classes(docs, text, doc_id, n, threshold, recall)
     keep = known.groupBy("component").agg(F.min(F.struct("text_class", "key")).alias("least")).select(F.col("least.text_class").alias(least), F.col("least.key").alias(kept_key))
-    rows = docs.withColumn(mine, F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID))).withColumn(key, _text_key(text))
+    rows = docs.withColumn(mine, F.coalesce(F.col(quoted(doc_id)).cast("bigint"), F.lit(NO_ID))).withColumn(key, _text_key(text))
     kept = rows.join(keep, (F.col(mine) == F.col(least)) & (F.col(key) == F.col(kept_key)), "left_semi")
-    return kept.dropDuplicates([mine, key]).select(*docs.columns)
+    return kept.dropDuplicates([mine, key]).select(*map(quoted, docs.columns))

@@ -9,6 +9,7 @@ import re
 from pyspark.sql import functions as F
 
 from newsflow.llm import ngram_join as J
+from newsflow.llm._session import written
 
 
 def test_join_equals_brute_force(spark, monkeypatch):
@@ -49,3 +50,36 @@ def test_join_equals_brute_force(spark, monkeypatch):
         assert got==exp,[(a,b) for a,b in zip(got,exp) if a!=b][:5]
     assert J.deduplicate(df).count() == len({e[1] for e in exp})
     assert J.join(df.limit(0)).count() == 0
+
+
+def test_long_chain_costs_in_proportion(spark, monkeypatch):
+    """Texts that slide along a book by two words: each is like its three neighbours on both sides, all are one class."""
+    random.seed(6)
+    book = [f"w{random.randrange(10**6)}" for _ in range(3000)]
+    monkeypatch.setattr(J, "BLOCK", 16)
+    rows = {}
+    for n in (300, 1200):
+        df = spark.createDataFrame([(i, " ".join(book[2 * i : 2 * i + 60])) for i in range(n)], "doc_id bigint, text string")
+        seen = []
+        monkeypatch.setattr(J, "written", lambda d, tag: seen.append(written(d, tag).count()) or written(d, tag) if tag == "join-tasks" else written(d, tag))
+        got = {r.doc_id: (r.class_id, r.n_links, r.class_size) for r in J.join(df).collect()}
+        assert got == {i: (0, min(i, 3) + min(n - 1 - i, 3), n) for i in range(n)}
+        rows[n] = seen[0]
+    assert rows[1200] < 6 * rows[300]
+
+
+def test_large_dense_family_and_odd_columns(spark, monkeypatch):
+    random.seed(7)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        w[random.randrange(300)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(random.choices(base, k=40))) for i in range(30)]
+    monkeypatch.setattr(J, "BLOCK", 20)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("a.b", F.lit(1))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in J.join(df).collect()}
+    assert got == {i: (0, 149) if i < 150 else (i, 0) for i, _ in rows}
+    kept = J.deduplicate(df)
+    assert kept.columns == df.columns and kept.count() == 31
