@@ -59,7 +59,15 @@ def test_move_up_then_down_is_identity(spark):
     assert sorted(base.values()) == list(range(1, len(base) + 1))
 
 
-def test_entry_works_without_optional_parts():
+def test_entry_works_without_optional_parts(monkeypatch):
     import __spark_entry__ as e
 
     assert "approved_page" in e.queries()
+    assert e._optional("newsflow.llm.queries") is None or "op2_quality_rules" in e.queries()
+
+    def broken(name):
+        raise ModuleNotFoundError("No module named 'zstandard'", name="zstandard")
+
+    monkeypatch.setattr(e.importlib, "import_module", broken)
+    with pytest.raises(ModuleNotFoundError):
+        e._optional("newsflow.llm.queries")
