@@ -16,7 +16,9 @@ from .text import clean, col, filled, html_escape, slugify, truncate
 INNER = r"[\t\x0B\f\r\x{85}\p{Z}]"
 WIDTH, HEIGHT = 1080, 610
 SUMMARY_STEPS = (450, 320, 220, 140, 80, 0)
-INTRO_LINES = ("TIN TỨC MỚI TỪ PNEWS", "👉 Bấm vào từng ảnh để xem nội dung chi tiết.")
+#: What stands for the house itself where an article names no source, and the lines around a post's own text. Parameters, not results to match.
+HOUSE = "Newsflow"
+INTRO_LINES = ("TIN TỨC MỚI", "👉 Bấm vào từng ảnh để xem nội dung chi tiết.")
 
 
 def caption_text(c: Column | str) -> Column:
@@ -30,24 +32,24 @@ def is_http_url(c: Column | str) -> Column:
     return F.trim(F.coalesce(col(c), F.lit(""))).rlike(r"^(?i:https?)://[^/?#]+")
 
 
-def photo_caption(order: Column | str, title: Column | str, summary: Column | str, source: Column | str, url: Column | str) -> Column:
+def photo_caption(order: Column | str, title: Column | str, summary: Column | str, source: Column | str, url: Column | str, house: str = HOUSE) -> Column:
     """'N. title', the summary unless it is the title, source and link. NULL for rows without a title or with a url that is not http(s)."""
     head, short, link = clean(title), truncate(summary), clean(url)
     lines = F.concat_ws(
         "\n",
         F.concat(col(order).cast("int").cast("string"), F.lit(". "), head),
         F.when((short != "") & (F.lower(short) != F.lower(head)), F.concat(F.lit("\n"), short)),
-        F.concat(F.lit("\nNguồn: "), F.coalesce(filled(clean(source)), F.lit("PNews"))),
+        F.concat(F.lit("\nNguồn: "), F.coalesce(filled(clean(source)), F.lit(house))),
         F.when(link != "", F.concat(F.lit("🔗 Xem chi tiết: "), link)),
     )
     return F.when((head != "") & ((link == "") | is_http_url(link)), caption_text(lines))
 
 
-def main_caption(moment: Column | str, intro: Column | str) -> Column:
+def main_caption(moment: Column | str, intro: Column | str, lines: tuple[str, str] = INTRO_LINES) -> Column:
     """Caption of a whole post; moment is a timestamp."""
     m = col(moment)
     when = F.concat(F.lit("Cập nhật ngày "), F.date_format(m, "dd/MM/yyyy"), F.lit(" lúc "), F.date_format(m, "HH:mm"))
-    return caption_text(F.concat_ws("\n", F.lit(INTRO_LINES[0]), when, F.lit(""), clean(intro), F.lit(""), F.lit(INTRO_LINES[1])))
+    return caption_text(F.concat_ws("\n", F.lit(lines[0]), when, F.lit(""), clean(intro), F.lit(""), F.lit(lines[1])))
 
 
 def _trim(c: Column, limit: int) -> Column:
@@ -55,17 +57,17 @@ def _trim(c: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, max(0, limit - 3))), F.lit("...")))
 
 
-def telegram_message(row: dict[str, Column] | None = None, summary_chars: int = 450) -> Column:
+def telegram_message(row: dict[str, Column] | None = None, summary_chars: int = 450, house: str = HOUSE) -> Column:
     """HTML message of an article; row replaces the columns of the same names."""
     at = lambda c: (row or {}).get(c, F.col(c))
     part = lambda c, limit: html_escape(_trim(c, limit))
     category = F.coalesce(filled(at("category")), filled(at("content_topic")), F.lit("Tin tức"))
     moment = part(F.coalesce(filled(at("published_at")), filled(at("crawled_at")), F.lit("")), 80)
     return F.concat(
-        F.lit("📰 PNews | "), part(category, 120),
+        F.lit(f"📰 {house} | "), part(category, 120),
         F.lit("\n\n<b>"), part(F.coalesce(filled(at("title")), F.lit("Không có tiêu đề")), 300),
         F.lit("</b>\n\n📝 Tóm tắt:\n"), part(F.coalesce(filled(at("summary")), F.lit("Chưa có tóm tắt.")), summary_chars),
-        F.lit("\n\n📌 Nguồn: "), part(F.coalesce(filled(at("source")), F.lit("PNews")), 160),
+        F.lit("\n\n📌 Nguồn: "), part(F.coalesce(filled(at("source")), F.lit(house)), 160),
         F.when(moment != "", F.concat(F.lit("\n🗓 Ngày đăng: "), moment)).otherwise(""),
         F.lit("\n🏷 Chủ đề: "), part(F.coalesce(filled(at("content_topic")), category), 120),
         F.lit("\n🔗 Đọc bài viết: "), part(at("url"), 900),
@@ -80,12 +82,12 @@ def fit_telegram(limit: int) -> Column:
     return F.coalesce(*fits, F.concat(F.rtrim(F.substring(small, 1, limit - 3)), F.lit("...")))
 
 
-def card_filenames(df: DataFrame, key: str = "id", index: Column | None = None) -> DataFrame:
+def card_filenames(df: DataFrame, key: str = "id", index: Column | None = None, house: str = HOUSE.lower()) -> DataFrame:
     """df with `filename`: [NNN-]source-category-title as a slug of 180 characters; later rows of one name get -2, -3 and so on."""
     slug = lambda c: filled(F.substring(slugify(F.trim(c), ""), 1, 100))
     title = F.coalesce(slug(F.col("title")), F.concat(F.lit("article-"), F.substring(F.sha1(F.encode(F.coalesce("url", F.lit("")), "UTF-8")), 1, 10)))
     category = F.coalesce(slug(F.coalesce(filled("category"), filled("content_topic"), F.lit(""))), F.lit("news"))
-    parts = [F.coalesce(slug(F.col("source")), F.lit("pnews")), category, title]
+    parts = [F.coalesce(slug(F.col("source")), F.lit(house)), category, title]
     if index is not None:
         parts.insert(0, F.lpad(index.cast("string"), 3, "0"))
     df = df.withColumn("stem", F.regexp_replace(F.substring(F.concat_ws("-", *parts), 1, 180), "^-+|-+$", ""))

@@ -84,10 +84,11 @@ def has_alias(text: Column, alias: str) -> Column:
     return text.rlike(rf"\b{alias}\b") if len(alias) <= 2 or " " not in alias else text.contains(alias)
 
 
-def truncate(c: Column | str, limit: int = 400, end: str = "…") -> Column:
-    """Cut before the last word that begins within the limit, without trailing punctuation."""
+def truncate(c: Column | str, limit: int = 400, end: str = "…", keep: int | None = None) -> Column:
+    """Texts over the limit are cut before the last word that begins within `keep` characters (by default the limit less the end), without trailing punctuation."""
     text = clean(c)
-    cut = F.regexp_replace(F.regexp_replace(F.rtrim(F.substring(text, 1, limit - len(end))), " [^ ]*$", ""), "[.,;: ]+$", "")
+    head = F.rtrim(F.substring(text, 1, limit - len(end))) if keep is None else F.substring(text, 1, keep)
+    cut = F.regexp_replace(F.regexp_replace(head, " [^ ]*$", ""), "[.,;: ]+$", "")
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(cut, F.lit(end)))
 
 
@@ -106,3 +107,20 @@ def html_escape(c: Column | str) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
+
+
+def clip(c: Column | str, limit: int) -> Column:
+    """Texts over the limit lose their end for three dots, wherever a word is cut."""
+    text = clean(c)
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, max(0, limit - 3))), F.lit("...")))
+
+
+def url_quote(c: Column | str) -> Column:
+    """Percent encoding of a text as part of a path: a space is %20, letters, digits and -._~ stay."""
+    out = F.replace(F.url_encode(F.coalesce(col(c), F.lit(""))), F.lit("+"), F.lit("%20"))
+    return F.replace(F.replace(out, F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+
+
+def clean_ids(c: Column) -> Column:
+    """The whole numbers among an array of texts, each once, in order of first appearance."""
+    return F.array_distinct(F.transform(F.filter(c, lambda x: x.rlike("^[0-9]+$")), lambda x: x.try_cast("bigint")))

@@ -10,7 +10,7 @@ from .text import ascii_lower, col, filled, has_alias, like, normalize, text_key
 # Labels, aliases and word lists that results must share.
 STATUSES = ("approved", "deleted", "pending", "rejected")
 CLIENT_TOPICS = ("Tin tức chung", "Tin tức PTIT", "Giáo dục", "Khoa học - Công nghệ", "Kinh doanh", "Pháp luật", "Sức khỏe", "Thế giới", "Thể thao", "Thời sự", "Giải trí")
-PUBLIC = ("approved", "da dang", "da duyet", "dang", "duyet", "posted", "public", "publish", "published")
+PUBLIC = ("approved", "published", "publish", "public", "posted", "dang", "da dang", "duyet", "da duyet")
 GROUPS = {
     "published": PUBLIC,
     "pending": ("pending", "waiting", "draft", "review", "cho duyet", "can duyet", "moi"),
@@ -19,15 +19,15 @@ GROUPS = {
 }
 BY_CATEGORY = {"Khoa học - Công nghệ": "Khoa học - Công nghệ", "Giáo dục": "Giáo dục", "Khoa giáo - Khoa học công nghệ": "Khoa học - Giáo dục", "Tin tức chung": "Tin tức PTIT"}
 KEYWORDS = {
-    "Thời sự": "chính phủ|quốc hội|ubnd|hà nội|tp hcm|mưa lớn|ngập|cháy|tai nạn|cứu hộ|dự án",
-    "Kinh doanh": "giá|thị trường|chứng khoán|vn-index|xăng|doanh nghiệp|ngân hàng|lãi suất|bất động sản|đầu tư|tài chính",
-    "Giáo dục": "đại học|học sinh|sinh viên|thi tốt nghiệp|tuyển sinh|giáo dục|điểm chuẩn|du học",
-    "Khoa học - Công nghệ": "ai|trí tuệ nhân tạo|chatgpt|công nghệ|robot|phần mềm|dữ liệu|startup|bán dẫn|điện thoại|khoa học",
-    "Thể thao": "bóng đá|world cup|cầu thủ|hlv|ngoại hạng|tennis|bóng chuyền|sea games|olympic",
-    "Sức khỏe": "bệnh viện|bệnh nhân|sức khỏe|hiến tạng|bác sĩ|thuốc|ung thư|sàng lọc|dịch bệnh",
-    "Pháp luật": "buôn lậu|khởi tố|bị bắt|công an|đường dây|tạm giam|điều tra|truy tố|xét xử",
-    "Giải trí": "ca sĩ|diễn viên|hoa hậu|phim|âm nhạc|nghệ sĩ|showbiz|concert",
-    "Thế giới": "nga|mỹ|trung quốc|ukraine|israel|gaza|châu âu|tổng thống|thủ tướng",
+    "Thời sự": ("chính phủ", "quốc hội", "ubnd", "hà nội", "tp hcm", "mưa lớn", "ngập", "cháy", "tai nạn", "cứu hộ", "dự án"),
+    "Kinh doanh": ("giá", "thị trường", "chứng khoán", "vn-index", "xăng", "doanh nghiệp", "ngân hàng", "lãi suất", "bất động sản", "đầu tư", "tài chính"),
+    "Giáo dục": ("đại học", "học sinh", "sinh viên", "thi tốt nghiệp", "tuyển sinh", "giáo dục", "điểm chuẩn", "du học"),
+    "Khoa học - Công nghệ": ("ai", "trí tuệ nhân tạo", "chatgpt", "công nghệ", "robot", "phần mềm", "dữ liệu", "startup", "bán dẫn", "điện thoại", "khoa học"),
+    "Thể thao": ("bóng đá", "world cup", "cầu thủ", "hlv", "ngoại hạng", "tennis", "bóng chuyền", "sea games", "olympic"),
+    "Sức khỏe": ("bệnh viện", "bệnh nhân", "sức khỏe", "hiến tạng", "bác sĩ", "thuốc", "ung thư", "sàng lọc", "dịch bệnh"),
+    "Pháp luật": ("buôn lậu", "khởi tố", "bị bắt", "công an", "đường dây", "tạm giam", "điều tra", "truy tố", "xét xử"),
+    "Giải trí": ("ca sĩ", "diễn viên", "hoa hậu", "phim", "âm nhạc", "nghệ sĩ", "showbiz", "concert"),
+    "Thế giới": ("nga", "mỹ", "trung quốc", "ukraine", "israel", "gaza", "châu âu", "tổng thống", "thủ tướng"),
 }
 NEWS_TYPES = {"vnexpress": "Báo điện tử", "báo chính phủ": "Cổng thông tin Chính phủ", "baochinhphu": "Cổng thông tin Chính phủ", "ptit": "Trang tin trường đại học", "dân trí": "Báo điện tử tổng hợp", "dantri": "Báo điện tử tổng hợp", "24h": "Trang tin tổng hợp"}
 CANONICAL = {
@@ -39,16 +39,19 @@ CANONICAL_LIKE = {
     "Pháp luật": ("Pháp luật", "phap luat"), "Sức khỏe": ("Sức khỏe", "suc khoe"), "Thế giới": ("Thế giới", "the gioi"), "Thể thao": ("Thể thao", "the thao"),
     "Thời sự": ("Thời sự", "thoi su"), "Giải trí": ("Giải trí", "giai tri"),
 }
-SOURCE_ALIASES = {"VNExpress": "vnexpress|vn express|vnex", "Báo Chính phủ": "bao chinh phu|chinh phu", "PTIT": "ptit|hoc vien cong nghe buu chinh vien thong"}
+SOURCE_ALIASES = {"VNExpress": ("vnexpress", "vn express", "vnex"), "Báo Chính phủ": ("bao chinh phu", "chinh phu"), "PTIT": ("ptit", "hoc vien cong nghe buu chinh vien thong")}
 TOPIC_ALIASES = {
-    "công nghệ": "cong nghe|ai|tri tue nhan tao|chatgpt|phan mem|iphone", "kinh doanh": "kinh doanh|thi truong|chung khoan|bat dong san|doanh nghiep|gia vang",
-    "giáo dục": "giao duc|sinh vien|hoc tap|truong|dai hoc|thi tot nghiep", "thể thao": "the thao|bong da|world cup|v league|tennis", "giải trí": "giai tri|dien anh|am nhac|nghe si",
-    "sức khỏe": "suc khoe|y te|benh|bac si", "pháp luật": "phap luat|toa an|cong an|vu an", "đời sống": "doi song|xa hoi|gia dinh|du lich", "thời sự": "thoi su|chinh phu|quoc hoi",
+    "công nghệ": ("cong nghe", "ai", "tri tue nhan tao", "chatgpt", "phan mem", "iphone"), "kinh doanh": ("kinh doanh", "thi truong", "chung khoan", "bat dong san", "doanh nghiep", "gia vang"),
+    "giáo dục": ("giao duc", "sinh vien", "hoc tap", "truong", "dai hoc", "thi tot nghiep"), "thể thao": ("the thao", "bong da", "world cup", "v league", "tennis"), "giải trí": ("giai tri", "dien anh", "am nhac", "nghe si"),
+    "sức khỏe": ("suc khoe", "y te", "benh", "bac si"), "pháp luật": ("phap luat", "toa an", "cong an", "vu an"), "đời sống": ("doi song", "xa hoi", "gia dinh", "du lich"), "thời sự": ("thoi su", "chinh phu", "quoc hoi"),
 }
 STOP_WORDS = ("khong", "nao", "moi", "nhat", "hom", "nay", "cho", "toi", "xem", "tin", "bai", "bao", "co", "tim", "ve")
-COUNT_WORDS, TODAY_WORDS = "bao nhieu|so luong|co may|tong so|dem", "hom nay|trong ngay|ngay nay|moi hom nay"
-SUMMARY_WORDS, ADVICE_WORDS = "tom tat|tong hop|diem tin", "dang doc|nen doc|quan trong|noi bat|goi y"
-LATEST_WORDS, LOOSE_WORDS = "tin moi|moi nhat|hom nay|gan day", "tim|bai ve|lien quan den|ve ai|ai|sinh vien|hoc tap|viec lam"
+COUNT_WORDS = ("bao nhieu", "so luong", "co may", "tong so", "dem")
+TODAY_WORDS = ("hom nay", "trong ngay", "ngay nay", "moi hom nay")
+SUMMARY_WORDS = ("tom tat", "tong hop", "diem tin")
+ADVICE_WORDS = ("dang doc", "nen doc", "quan trong", "noi bat", "goi y")
+LATEST_WORDS = ("tin moi", "moi nhat", "hom nay", "gan day")
+LOOSE_WORDS = ("tim", "bai ve", "lien quan den", "ve ai", "ai", "sinh vien", "hoc tap", "viec lam")
 
 
 def first_of(rules: list[tuple[Column, Column | str]], default: Column) -> Column:
@@ -60,10 +63,10 @@ def first_of(rules: list[tuple[Column, Column | str]], default: Column) -> Colum
     return out.otherwise(default) if out is not None else default
 
 
-def any_of(text: Column, words: str) -> Column:
-    """text holds one of the words, which are separated by bars."""
+def any_of(text: Column, words: tuple[str, ...]) -> Column:
+    """text holds one of the words."""
     test = F.lit(False)
-    for w in words.split("|"):
+    for w in words:
         test = test | text.contains(w)
     return test
 
@@ -77,7 +80,7 @@ def canonical_topic() -> Column:
     raw = F.regexp_replace(raw_topic(), r"(?U)^\s+|\s+$", "")
     key = text_key(raw)
     rules = [(text_key("source").contains("ptit") | key.contains("ptit"), "Tin tức PTIT")]
-    rules += [(any_of(key, "|".join(words)), label) for label, words in CANONICAL.items()]
+    rules += [(any_of(key, words), label) for label, words in CANONICAL.items()]
     rules += [(key.contains("tin tuc chung"), "Thời sự")]
     return first_of(rules, F.when(raw == "", F.lit("Tin mới")).otherwise(raw))
 
@@ -139,9 +142,9 @@ def hints(message: str) -> dict[str, Column]:
     return {"source": source, "topic": topic, "keyword": keyword}
 
 
-def _any_alias(text: Column, aliases: str) -> Column:
+def _any_alias(text: Column, aliases: tuple[str, ...]) -> Column:
     test = F.lit(False)
-    for a in aliases.split("|"):
+    for a in aliases:
         test = test | has_alias(text, a)
     return test
 

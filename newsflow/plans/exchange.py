@@ -38,7 +38,7 @@ def _parts(x: str, pattern: str, *groups: int) -> list[str]:
     return [f"regexp_extract({x}, '{pattern}', {g})" for g in groups]
 
 
-_T = f"trim(regexp_replace(regexp_replace(regexp_replace({_clean('raw')}, '{dt.ZONED}', '', 'g'), '{dt.ZONE}', '', 'g'), '{dt.PREFIX}', ''), ' -|,')"
+_T = f"trim(regexp_replace({_clean('raw')}, '{dt.LABEL}', ''), ' -|,')"
 _D, _M, *_HMS = _parts("t", dt.MAIL, 1, 2, 4, 5, 6)
 _MONTH = f"CAST((instr(lower('{dt.MONTHS}'), lower({_M})) + 2) // 3 AS VARCHAR)"
 query(
@@ -80,7 +80,7 @@ def _short(x: str) -> str:
 def _photo(order: str) -> str:
     head, short, link = _clean("title"), _short("summary"), _clean("url")
     body = (f"concat_ws(chr(10), {order} || '. ' || {head}, CASE WHEN {short} <> '' AND lower({short}) <> lower({head}) THEN chr(10) || {short} END, "
-            f"chr(10) || 'Nguồn: ' || coalesce(nullif({_clean('source')}, ''), 'PNews'), CASE WHEN {link} <> '' THEN '🔗 Xem chi tiết: ' || {link} END)")
+            f"chr(10) || 'Nguồn: ' || coalesce(nullif({_clean('source')}, ''), '{pb.HOUSE}'), CASE WHEN {link} <> '' THEN '🔗 Xem chi tiết: ' || {link} END)")
     return f"CASE WHEN {head} <> '' AND ({link} = '' OR regexp_matches({link}, '^(?i:https?)://[^/?#]+')) THEN {_caption(body)} END"
 
 
@@ -107,9 +107,9 @@ def _message(n: int, title: str = "title", summary: str = "summary", url: str =
     br = "chr(10)"
     coalesced = f"coalesce(nullif({title}, ''), 'Không có tiêu đề')"
     return (
-        f"'📰 PNews | ' || {_part(category, 120)} || {br} || {br} || '<b>' || {_part(coalesced, 300)} || '</b>' || {br} || {br} || '📝 Tóm tắt:' || {br} || "
+        f"'📰 {pb.HOUSE} | ' || {_part(category, 120)} || {br} || {br} || '<b>' || {_part(coalesced, 300)} || '</b>' || {br} || {br} || '📝 Tóm tắt:' || {br} || "
         + _part(f"coalesce(nullif({summary}, ''), 'Chưa có tóm tắt.')", n)
-        + f" || {br} || {br} || '📌 Nguồn: ' || " + _part("coalesce(nullif(source, ''), 'PNews')", 160)
+        + f" || {br} || {br} || '📌 Nguồn: ' || " + _part(f"coalesce(nullif(source, ''), '{pb.HOUSE}')", 160)
         + f" || CASE WHEN {moment} <> '' THEN {br} || '🗓 Ngày đăng: ' || {moment} ELSE '' END || {br} || '🏷 Chủ đề: ' || " + _part(f"coalesce(nullif(content_topic, ''), {category})", 120)
         + f" || {br} || '🔗 Đọc bài viết: ' || {_part(url, 900)}"
     )
@@ -131,7 +131,7 @@ def _slug(x: str) -> str:
     return f"nullif(substr(regexp_replace(regexp_replace({ascii_}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 100), '')"
 
 
-_NAME = f"concat_ws('-', lpad(CAST(id % 1000 AS VARCHAR), 3, '0'), coalesce({_slug('source')}, 'pnews'), coalesce({_slug("coalesce(nullif(category, ''), content_topic)")}, 'news'), coalesce({_slug('title')}, 'article-' || substr(sha1(url), 1, 10)))"
+_NAME = f"concat_ws('-', lpad(CAST(id % 1000 AS VARCHAR), 3, '0'), coalesce({_slug('source')}, '{pb.HOUSE.lower()}'), coalesce({_slug("coalesce(nullif(category, ''), content_topic)")}, 'news'), coalesce({_slug('title')}, 'article-' || substr(sha1(url), 1, 10)))"
 query("card_filename", f"SELECT id, stem || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.jpg' AS filename FROM (SELECT id, stem, row_number() OVER (PARTITION BY stem ORDER BY id) AS n FROM (SELECT id, regexp_replace(substr({_NAME}, 1, 180), '^-+|-+$', '', 'g') AS stem FROM articles_v))")(
     lambda v: pb.card_filenames(v.articles, index=F.col("id") % 1000).select("id", "filename")
 )
@@ -202,7 +202,7 @@ _EDITED = ("title", "url", "published_at", "summary", "content_topic", "category
 _STRIP = lambda c: f"trim(e.{c}, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(28), chr(29), chr(30), chr(31)))"
 _OK = "e.id IS NOT NULL AND " + _STRIP("title") + " <> '' AND regexp_full_match(e.client_order, '([+-]?[0-9]{1,9})?')"
 query("content_edit", f"""WITH e AS ({_EDITS}), a AS ({_CAPTIONS}) SELECT a.id, {', '.join(f'CASE WHEN {_OK} THEN {_STRIP(c)} ELSE a.{c} END AS {c}' for c in _EDITED)},
- CASE WHEN {_OK} THEN coalesce(nullif({_STRIP('source')}, ''), 'PNews') ELSE a.source END AS source, CASE WHEN {_OK} THEN greatest(coalesce(try_cast(e.client_order AS INT), 0), 0) ELSE a.client_order END AS client_order,
+ CASE WHEN {_OK} THEN coalesce(nullif({_STRIP('source')}, ''), '{pb.HOUSE}') ELSE a.source END AS source, CASE WHEN {_OK} THEN greatest(coalesce(try_cast(e.client_order AS INT), 0), 0) ELSE a.client_order END AS client_order,
  CASE WHEN {_OK} THEN '{_NOW}' ELSE a.updated_at END AS updated_at, CASE WHEN {_OK} AND a.facebook_posted <> 1 THEN '' ELSE a.facebook_caption END AS facebook_caption,
  CASE WHEN e.id IS NULL OR ({_OK}) THEN '' WHEN {_STRIP('title')} = '' THEN 'title' ELSE 'client_order' END AS edit_error FROM a LEFT JOIN e ON a.id = e.id""")(
     lambda v: ar.edit_content(v.spark.sql(_CAPTIONS), v.spark.sql(_EDITS), _NOW).select("id", *_EDITED, "source", "client_order", "updated_at", "facebook_caption", "edit_error"))

@@ -55,13 +55,13 @@ def test_telegram_message_shrinks_in_steps_and_escapes(spark):
     row = ("<b>&", "s " * 300, "", "", "", "", "", "https://h/" + "a" * 600)
     df = spark.createDataFrame([row], "title string, summary string, source string, category string, content_topic string, published_at string, crawled_at string, url string")
     whole, short, least = df.select(publishing.fit_telegram(4096), publishing.fit_telegram(900), publishing.fit_telegram(100)).first()
-    assert "<b>&lt;b&gt;&amp;</b>" in whole and "PNews | Tin tức" in whole and "Ngày đăng" not in whole
+    assert "<b>&lt;b&gt;&amp;</b>" in whole and "Newsflow | Tin tức" in whole and "Ngày đăng" not in whole
     assert len(short) <= 900 < len(whole) and len(least) <= 100 and least.endswith("...")
 
 
 def test_card_names_are_unique(spark):
     df = spark.createDataFrame([(1, "Đề A", None, "", "", "u"), (2, "de-a", " ", None, "", "u"), (3, "", "S", "C", "", None)], "id int, title string, source string, category string, content_topic string, url string")
-    assert [r.filename for r in publishing.card_filenames(df).orderBy("id").collect()] == ["pnews-news-de-a.jpg", "pnews-news-de-a-2.jpg", "s-c-article-da39a3ee5e.jpg"]
+    assert [r.filename for r in publishing.card_filenames(df).orderBy("id").collect()] == ["newsflow-news-de-a.jpg", "newsflow-news-de-a-2.jpg", "s-c-article-da39a3ee5e.jpg"]
 
 
 def test_media_items_need_as_many_images(spark):

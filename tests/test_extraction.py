@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from newsflow.functions import publishing
 from newsflow.functions.dom import parse
+from newsflow.functions.text import truncate
 from newsflow.operators import articles, extraction
 
 NOW = "2026-05-27 08:00:00"
@@ -71,8 +72,18 @@ def test_card_images():
     assert extraction.widest("a 1x, b 1080w,, c") == "b" and extraction.widest("a, b") == "b" and extraction.widest(" , ") == ""
 
 
-def test_summaries_are_cut_at_words():
-    assert extraction.shorten("a" * 300 + " bbb, " + "c" * 50) == "a" * 300 + " bbb..."
+def test_summaries_are_cut_at_words(spark):
+    cut = lambda text: spark.createDataFrame([(text,)], "t string").select(truncate("t", 320, "...", 320)).first()[0]
+    assert cut("a" * 300 + " bbb, " + "c" * 50) == "a" * 300 + " bbb..." and cut("a" * 320) == "a" * 320 and cut("a" * 321) == "a" * 320 + "..." and cut(None) == ""
+
+
+def test_article_bodies_by_source():
+    long, other = "Đoạn văn đủ dài để được giữ lại trong nội dung bài viết.", "Một đoạn khác cũng đủ dài để được giữ lại ở cuối trang."
+    page = f"<p>{other}</p><article class=fck_detail><p>{long}</p><p>Ảnh: {long}</p><div class=ads><p>{long} x</p></div><p>short</p></article>"
+    assert extraction.body_of("VNExpress", page) == long
+    assert extraction.body_of("PTIT", f"<div class=entry-content><p>short</p></div><main><p>{long}</p></main><p>{other}</p>") == long
+    assert extraction.body_of("x", f"<script><p>{long}</p></script><p>{other}</p>") == other
+    assert extraction.body_of(None, None) == "" and len(extraction.body_of("", f"<p>{'a' * 9000}</p>")) == 6000
 
 
 def test_edit_errors_change_nothing(spark):
@@ -81,7 +92,7 @@ def test_edit_errors_change_nothing(spark):
     edits = [(0, " ", " n\n", "3"), (1, "x", "n", "-2"), (2, "x", None, "1"), (3, "x", "n", "1.5"), (9, "x", "n", "1")]
     edits = spark.createDataFrame([(i, s, t, "", "", "", "", "", o) for i, s, t, o in edits], "id long, source string, title string, url string, published_at string, summary string, content_topic string, category string, client_order string")
     got = {r.id: (r.source, r.title, r.client_order, r.facebook_caption, r.edit_error) for r in articles.edit_content(rows, edits, NOW).collect()}
-    assert got == {0: ("PNews", "n", 3, "", ""), 1: ("x", "n", 0, "cap", ""), 2: ("s", "t", 7, "cap", "title"), 3: ("s", "t", 7, "cap", "client_order"), 4: ("s", "t", 7, "cap", "")}
+    assert got == {0: ("Newsflow", "n", 3, "", ""), 1: ("x", "n", 0, "cap", ""), 2: ("s", "t", 7, "cap", "title"), 3: ("s", "t", 7, "cap", "client_order"), 4: ("s", "t", 7, "cap", "")}
 
 
 @pytest.mark.parametrize(("budget", "force", "want"), [
