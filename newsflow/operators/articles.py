@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import topics
+from ..functions.publishing import HOUSE
 from ..functions.text import blank, clean, filled, like, matches, normalize
+from ..shared import scratch
 
 UNSET_ORDER = 2147483647
 DATES = {
@@ -165,26 +167,69 @@ def quality_warnings(df: DataFrame) -> DataFrame:
     return df.agg(n(blank("summary")).alias("missing_summary"), n(blank("thumbnail") & blank("image_path")).alias("missing_image"), n(blank("url")).alias("missing_url"))
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
+    """Positions 1..n over all rows. Rows are dealt out by ranges of the order, sorted there and written to the shared folder; a row's position
+    is its place there after the rows of the ranges before, of which there is one count each. No window spans all rows."""
+    spark = df.sparkSession
+    path = scratch(spark, "numbered")
+    part, place = F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_place")
+    df.orderBy(*order).select("*", part, place).write.parquet(path)
+    rows = spark.read.parquet(path)
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", "_first", before.alias("_before"))
+    return rows.join(starts, "_part").select(*df.columns, (F.col("_before") + F.col("_place") - F.col("_first") + 1).cast("int").alias(name))
+
+
 def move(df: DataFrame, article: int, step: int) -> DataFrame:
     """Approved rows numbered 1..n in business order after one of them changed place with its neighbour. At an edge nothing moves."""
-    ranked = df.where("status = 'approved'").withColumn("rank", F.row_number().over(Window.orderBy(*business_order())))
-    at, n = ranked.where(F.col("id") == article).select("rank"), ranked.count()
-    row = at.first()
-    if row is None:
+    ranked = numbered(df.where("status = 'approved'"), business_order(), "rank").select("id", "rank")
+    at = ranked.agg(F.max(F.when(F.col("id") == article, F.col("rank"))).alias("at"), F.count("*").alias("n")).first()
+    if at["at"] is None:
         raise ValueError("the article is not in the list")
-    i, j = row[0], row[0] + step
-    if not 1 <= j <= n:
+    i, j = at["at"], at["at"] + step
+    if not 1 <= j <= at["n"]:
         return ranked.select("id", F.col("rank").alias("client_order"))
     return ranked.select("id", F.when(F.col("rank") == i, j).when(F.col("rank") == j, i).otherwise(F.col("rank")).alias("client_order"))
 
 
-def set_status(df: DataFrame, ids: list[int] | Column, status: str, now: str) -> DataFrame:
-    """Rows of the ids, or for which a condition holds, get the status and its timestamps; a return to pending keeps the old ones."""
+def set_status(df: DataFrame, ids: list[int] | Column | DataFrame, status: str, now: str) -> DataFrame:
+    """Rows of the ids (a list, a table with `id`, or a condition) get the status and its timestamps; a return to pending keeps the old ones.
+
+    approval_status, where there is one, follows all but a deletion.
+    """
     if status not in topics.STATUSES:
         raise ValueError("unknown status")
-    hit = ids if isinstance(ids, Column) else F.col("id").isin(ids)
+    columns = df.columns
+    if isinstance(ids, DataFrame):
+        df = df.join(ids.select("id", F.lit(True).alias("_hit")).distinct(), "id", "left")
+        hit = F.col("_hit").isNotNull()
+    else:
+        hit = ids if isinstance(ids, Column) else F.col("id").isin(ids)
     stamp = {"updated_at"} | ({"reviewed_at"} if status in ("approved", "rejected") else set()) | ({"approved_at"} if status == "approved" else set()) | ({"deleted_at"} if status == "deleted" else set())
-    return df.withColumns({"status": F.when(hit, F.lit(status)).otherwise(F.col("status")), **{c: F.when(hit, F.lit(now)).otherwise(F.col(c)) for c in sorted(stamp)}})
+    named = {"status"} | ({"approval_status"} & set(columns) if status != "deleted" else set())
+    values = {**dict.fromkeys(sorted(named), status), **dict.fromkeys(sorted(stamp), now)}
+    return df.withColumns({c: F.when(hit, F.lit(v)).otherwise(F.col(c)) for c, v in values.items()}).select(*columns)
+
+
+def batches(df: DataFrame, group: str, order: str, ident: str, most: int = 10) -> DataFrame:
+    """Posts of a group's items in order: (group, batch, batch_id, photos). A post takes `most` items, never fewer than two are allowed as bound;
+    batch_id is a digest of its ids, of which there are `most` at most."""
+    n = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    rows = df.withColumn("_n", n).withColumn("batch", F.floor((F.col("_n") - 1) / max(2, most)).cast("bigint"))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col(ident).cast("string").alias("id")))), lambda x: x["id"])
+    digest = F.substring(F.sha2(F.array_join(ids, ","), 256), 1, 16)
+    return rows.groupBy(group, "batch").agg(digest.alias("batch_id"), F.count("*").alias("photos"))
+
+
+def images_of(df: DataFrame, images: DataFrame, slug: str = "slug", gram: int = 6) -> DataFrame:
+    """(id, image_id): the newest image whose stem contains the article's slug. Slug and stem meet on the slug's first `gram`
+    characters, of which a stem offers every place, so no article is compared with every image."""
+    heads = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("stem")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda n: F.substr("stem", i, n)))))
+    offered = images.where("stem <> ''").select("image_id", "stem", "mtime", F.explode(heads).alias("head"))
+    asked = df.where(F.col(slug) != "").select("id", F.col(slug).alias("slug"), F.substring(slug, 1, gram).alias("head"))
+    met = asked.join(offered, "head").where(F.col("stem").contains(F.col("slug")))
+    return met.groupBy("id").agg(F.max_by("image_id", "mtime").alias("image_id"))
 
 
 def upsert(cms: DataFrame, rows: DataFrame, now: str) -> DataFrame:
@@ -215,8 +260,8 @@ UPGRADEABLE = ("fallback", "missing_content", "pending")
 MIN_SUMMARY = 30
 
 
-def edit_content(df: DataFrame, edits: DataFrame, now: str) -> DataFrame:
-    """Articles with the edits of their id: texts stripped, a blank source is PNews, the caption goes unless the article was posted.
+def edit_content(df: DataFrame, edits: DataFrame, now: str, house: str = HOUSE) -> DataFrame:
+    """Articles with the edits of their id: texts stripped, a blank source is the house, the caption goes unless the article was posted.
 
     An edit with a blank title or an order that is no whole number changes nothing; `edit_error` says which. Edits hold one row an id.
     """
@@ -227,7 +272,7 @@ def edit_content(df: DataFrame, edits: DataFrame, now: str) -> DataFrame:
     rows = df.join(new, "id", "left").withColumn("number", number)
     rows = rows.withColumn("edit_error", F.when(F.col("asked"), F.when(F.col("n_title") == "", "title").when(F.col("number").isNull(), "client_order").otherwise("")).otherwise(""))
     hit = F.col("asked").isNotNull() & (F.col("edit_error") == "")
-    value = {c: F.col(f"n_{c}") for c in text} | {"source": F.coalesce(filled("n_source"), F.lit("PNews")), "client_order": F.col("number"), "updated_at": F.lit(now)}
+    value = {c: F.col(f"n_{c}") for c in text} | {"source": F.coalesce(filled("n_source"), F.lit(house)), "client_order": F.col("number"), "updated_at": F.lit(now)}
     value = {c: F.when(hit, v).otherwise(F.col(c)) for c, v in value.items()}
     value["facebook_caption"] = F.when(hit & (F.coalesce("facebook_posted", F.lit(0)) != 1), "").otherwise(F.col("facebook_caption"))
     return rows.withColumns(value).select(*df.columns, "edit_error")

@@ -82,7 +82,7 @@ def _canonical_sql() -> str:
 
 
 def pos(df: DataFrame, *order: Column) -> DataFrame:
-    return df.withColumn("pos", F.row_number().over(Window.orderBy(*order)))
+    return ar.numbered(df, list(order))
 
 
 # Listings -------------------------------------------------------------------------------------------------------------
@@ -168,7 +168,7 @@ query("recent_articles", f"SELECT id, row_number() OVER (ORDER BY {RECENT}) AS p
 query("latest_approved", f"SELECT id, row_number() OVER (ORDER BY {_when(_P)} DESC NULLS LAST, id DESC) AS pos FROM articles_v WHERE status IN ('approved', 'published', 'Đã đăng') QUALIFY pos <= 10")(
     lambda v: ar.page(v.articles.where(F.col("status").isin("approved", "published", "Đã đăng")), [ar.moment(tx.filled("published_at")).desc(), F.col("id").desc()], size=10).select("id", "pos"))
 query("client_order_rank", f"SELECT id, row_number() OVER (ORDER BY {_order('approved')}) AS rank FROM articles_v WHERE status = 'approved'")(
-    lambda v: v.articles.where("status = 'approved'").select("id", F.row_number().over(Window.orderBy(*ar.business_order())).alias("rank")))
+    lambda v: ar.numbered(v.articles.where("status = 'approved'"), ar.business_order(), "rank").select("id", "rank"))
 for _n, _d in (("move_up", -1), ("move_down", 1)):
     query(_n, f"WITH r AS (SELECT id, row_number() OVER (ORDER BY {_order('approved')}) AS k FROM articles_v WHERE status = 'approved'), a AS (SELECT k FROM r WHERE id = 101) SELECT id, CASE WHEN r.k = a.k THEN r.k + {_d} WHEN r.k = a.k + {_d} THEN a.k ELSE r.k END AS client_order FROM r, a")(
         lambda v, d=_d: ar.move(v.articles, 101, d))
@@ -238,13 +238,13 @@ query("fallback_summary", "WITH s AS (SELECT doc_id, string_split(regexp_replace
 _SQ = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 query("truncate_summary", f"SELECT doc_id, CASE WHEN length({_SQ}) <= 400 THEN {_SQ} ELSE regexp_replace(regexp_replace(rtrim(substr({_SQ}, 1, 399)), ' [^ ]*$', ''), '[.,;: ]+$', '') || '…' END AS t FROM documents")(lambda v: v.documents.select("doc_id", tx.truncate("text").alias("t")))
 query("mask_token", "SELECT id, CASE WHEN trim(url) = '' THEN '' WHEN length(trim(url)) <= 10 THEN '***' ELSE substr(trim(url), 1, 6) || '...' || right(trim(url), 4) END AS m FROM articles_v")(lambda v: v.articles.select("id", tx.mask("url").alias("m")))
-query("batch_id", "SELECT source, substr(sha256(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id)), 1, 16) AS batch FROM articles_v WHERE status = 'approved' GROUP BY source")(
-    lambda v: v.articles.where("status = 'approved'").groupBy("source").agg(F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda i: i.cast("string")), ","), 256), 1, 16).alias("batch")))
+query("batch_id", "SELECT publication_id, batch, substr(sha256(string_agg(CAST(article_id AS VARCHAR), ',' ORDER BY n)), 1, 16) AS batch_id FROM (SELECT *, (n - 1) // 10 AS batch FROM (SELECT *, row_number() OVER (PARTITION BY publication_id ORDER BY order_index) AS n FROM media_v)) GROUP BY publication_id, batch")(
+    lambda v: ar.batches(v.media, "publication_id", "order_index", "article_id").select("publication_id", "batch", "batch_id"))
 query("thumbnail_cache_key", "SELECT id, sha256(thumbnail) || '.jpg' AS k FROM articles_v WHERE thumbnail <> ''")(lambda v: v.articles.where("thumbnail <> ''").select("id", F.concat(F.sha2("thumbnail", 256), F.lit(".jpg")).alias("k")))
 query("sanitize_message", "SELECT conv_id, turn, substr(trim(regexp_replace(message, '\\s+', ' ', 'g')), 1, 500) AS m FROM messages_v")(lambda v: v.messages.select("conv_id", "turn", F.substring(tx.clean("message"), 1, 500).alias("m")))
 query("classify_news_type", "SELECT id, " + "CASE " + " ".join(f"WHEN contains(lower(source), '{k}') THEN '{x}'" for k, x in tp.NEWS_TYPES.items()) + " ELSE 'Không xác định' END AS t FROM articles_v")(lambda v: v.articles.select("id", tp.classify_news_type("source").alias("t")))
 _TEXT = "lower(title || ' ' || summary)"
-query("classify_topic", "SELECT id, CASE " + " ".join(f"WHEN category = '{k}' THEN '{x}'" for k, x in tp.BY_CATEGORY.items()) + " " + " ".join("WHEN " + " OR ".join(f"contains({_TEXT}, '{w}')" for w in ws.split("|")) + f" THEN '{t}'" for t, ws in tp.KEYWORDS.items()) + " ELSE coalesce(nullif(category, ''), 'Khác') END AS t FROM articles_v")(
+query("classify_topic", "SELECT id, CASE " + " ".join(f"WHEN category = '{k}' THEN '{x}'" for k, x in tp.BY_CATEGORY.items()) + " " + " ".join("WHEN " + " OR ".join(f"contains({_TEXT}, '{w}')" for w in ws) + f" THEN '{t}'" for t, ws in tp.KEYWORDS.items()) + " ELSE coalesce(nullif(category, ''), 'Khác') END AS t FROM articles_v")(
     lambda v: v.articles.select("id", tp.classify_topic("title", "summary", "category").alias("t")))
 
 # Search and chat --------------------------------------------------------------------------------------------------------
@@ -269,9 +269,9 @@ query("search_by_topic", f"SELECT id FROM articles_v WHERE {PUBLIC} AND {_some('
     lambda v: v.articles.where(tp.is_public()).where(tx.matches("suc khoe", tx.normalize("content_topic")) | tx.matches("suc khoe", tx.normalize("category")) | tx.matches("suc khoe", tx.normalize("title")) | tx.matches("suc khoe", tx.normalize("summary"))).select("id"))
 
 
-def _alias_sql(table: dict[str, str]) -> str:
+def _alias_sql(table: dict[str, tuple[str, ...]]) -> str:
     test = lambda a: f"regexp_matches(n, '\\b{a}\\b')" if len(a) <= 2 or " " not in a else f"contains(n, '{a}')"
-    return "CASE " + " ".join("WHEN " + " OR ".join(test(a) for a in aliases.split("|")) + f" THEN '{label}'" for label, aliases in table.items()) + " ELSE '' END"
+    return "CASE " + " ".join("WHEN " + " OR ".join(test(a) for a in aliases) + f" THEN '{label}'" for label, aliases in table.items()) + " ELSE '' END"
 
 
 _HINTS = f"""m AS (SELECT conv_id, turn, {_fold('message')} AS n FROM messages_v), h0 AS (SELECT *, {_alias_sql(tp.SOURCE_ALIASES)} AS source, {_alias_sql(tp.TOPIC_ALIASES)} AS topic, regexp_extract(n, '(?:tim|bai ve|lien quan den|ve|chu de)\\s+(.+)', 1) AS asked FROM m),
@@ -279,8 +279,8 @@ h AS (SELECT *, CASE WHEN asked <> '' THEN array_to_string(list_slice(list_filte
   WHEN source = '' AND topic = '' THEN array_to_string(list_slice(list_filter(string_split(n, ' '), lambda x: length(x) > 2), 1, 6), ' ') ELSE '' END AS keyword FROM h0)"""
 
 
-def _has(words: str) -> str:
-    return "(" + " OR ".join(f"contains(n, '{w}')" for w in words.split("|")) + ")"
+def _has(words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(n, '{w}')" for w in words) + ")"
 
 
 query("chat_hints", f"WITH {_HINTS} SELECT conv_id, turn, source, topic, keyword FROM h")(lambda v: v.messages.select("conv_id", "turn", *(c.alias(k) for k, c in tp.hints("message").items())))
@@ -307,8 +307,6 @@ query("notification_upsert", "SELECT article_id, platform, target_id, arg_max(st
     lambda v: v.notification_logs.withColumn("r", F.lit(0)).union(v.articles.where("status = 'approved'").select("id", F.lit("telegram"), F.lit("chat-1"), F.lit("sent"), "updated_at", F.lit(1))).groupBy("article_id", "platform", "target_id").agg(F.max_by("status", "r").alias("status")))
 query("latest_media_per_article", "SELECT article_id, publication_id, facebook_photo_id FROM (SELECT m.*, row_number() OVER (PARTITION BY m.article_id ORDER BY p.created_at DESC, p.id DESC, m.order_index DESC) AS rn FROM media_v m JOIN publications_v p ON p.id = m.publication_id) WHERE rn = 1")(
     lambda v: v.media.join(v.publications.select(F.col("id").alias("publication_id"), "created_at"), "publication_id").withColumn("rn", F.row_number().over(Window.partitionBy("article_id").orderBy(F.desc("created_at"), F.desc("publication_id"), F.desc("order_index")))).where("rn = 1").select("article_id", "publication_id", "facebook_photo_id"))
-query("publication_nest")(lambda v: v.publications.join(v.media.groupBy(F.col("publication_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("order_index", "article_id", "title", "upload_status"))).alias("items")), "id", "left"))
-query("publication_preview_json")(lambda v: v.publications.join(v.media.groupBy(F.col("publication_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("order_index", "article_id"))).alias("items")), "id").select("id", F.to_json(F.struct("id", "status", "items")).alias("preview")))
 query("publication_plan", "SELECT id, CASE WHEN status = 'PUBLISHED' THEN 'done' WHEN status = 'POST_PUBLISHING' OR (status = 'PARTIAL_FAILED' AND contains(last_error, 'reconcile')) THEN 'error' ELSE 'resume' END AS action FROM publications_v")(
     lambda v: v.publications.select("id", F.when(F.col("status") == "PUBLISHED", "done").when((F.col("status") == "POST_PUBLISHING") | ((F.col("status") == "PARTIAL_FAILED") & F.col("last_error").contains("reconcile")), "error").otherwise("resume").alias("action")))
 query("publication_status", "SELECT publication_id, count_if(upload_status = 'UPLOADED') AS uploaded, count_if(upload_status = 'FAILED') AS failed, CASE WHEN count_if(upload_status = 'FAILED') = 0 THEN 'PHOTOS_UPLOADED' WHEN count_if(upload_status = 'UPLOADED') >= 3 THEN 'PARTIAL_FAILED' ELSE 'FAILED' END AS status FROM media_v GROUP BY publication_id")(
@@ -324,7 +322,7 @@ query("ids_in_request_order", "SELECT t.pos, a.id, a.title FROM (SELECT unnest([
 query("clean_ids", "SELECT DISTINCT CAST(x AS BIGINT) AS id FROM (SELECT unnest(['3', 'a', '3', '', '12', '-1', '7']) AS x) WHERE regexp_matches(x, '^[0-9]+$')")(
     lambda v: v.spark.createDataFrame([(x,) for x in ("3", "a", "3", "", "12", "-1", "7")], "x string").where(F.col("x").rlike("^[0-9]+$")).select(F.col("x").cast("bigint").alias("id")).distinct())
 query("match_image_theta_join", "WITH s AS (SELECT id, replace(replace(replace(replace(lower(substr(title, 1, 24)), '.', ''), ',', ''), chr(10), ' '), ' ', '-') AS slug FROM articles_v) SELECT id, image_id FROM (SELECT s.id, i.image_id, row_number() OVER (PARTITION BY s.id ORDER BY i.mtime DESC) AS rn FROM s JOIN images_v i ON s.slug <> '' AND contains(i.stem, s.slug)) WHERE rn = 1")(
-    lambda v: v.articles.select("id", F.translate(F.regexp_replace(F.regexp_replace(F.lower(F.substring("title", 1, 24)), "[.,]", ""), "\n", " "), " ", "-").alias("slug")).where("slug <> ''").join(v.images, F.col("stem").contains(F.col("slug"))).withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("mtime")))).where("rn = 1").select("id", "image_id"))
+    lambda v: ar.images_of(v.articles.select("id", F.translate(F.regexp_replace(F.regexp_replace(F.lower(F.substring("title", 1, 24)), "[.,]", ""), "\n", " "), " ", "-").alias("slug")), v.images))
 query("enrich_budget", "WITH a AS (SELECT id, url, length(trim(summary)) < 30 AS missing FROM articles_v), f AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id) AS k FROM a WHERE missing AND url NOT IN (SELECT url FROM summary_cache_v)) SELECT id, row_number() OVER (ORDER BY id) <= 20 AS generate FROM f WHERE k = 1 OR url = ''")(
     lambda v: pos(v.articles.where(F.length(F.trim("summary")) < 30).join(v.summary_cache.select("url"), "url", "left_anti").withColumn("k", F.row_number().over(Window.partitionBy("url").orderBy("id"))).where("k = 1 OR url = ''"), F.col("id")).select("id", (F.col("pos") <= 20).alias("generate")))
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import filled, slugify
 from ..operators import articles as ar
+from ..shared import scratch  # noqa: F401
 
 ARTICLE = ("source", "title", "url", "crawled_at", "published_at", "thumbnail", "summary", "summary_source", "newspaper_type", "content_topic", "category")
 #: How both ways write a text: quotes doubled, white space at the ends kept.
@@ -18,15 +16,6 @@ CSV = {"header": True, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder of the session; a temporary one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="newsflow-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/newsflow/{tag}-{uuid.uuid4().hex[:12]}"
-
-
 def _article_columns(df: DataFrame) -> list[Column]:
     return [(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")).alias(c) for c in ARTICLE]
 
@@ -36,13 +25,22 @@ def project(df: DataFrame) -> DataFrame:
     return df.select(*_article_columns(df))
 
 
-def write_csv(df: DataFrame, path: str, files: int | None = None) -> None:
-    """Article columns with a header. `files` bounds the number of files; without it every partition writes its own."""
+def write_csv(df: DataFrame, path: str, files: int | None = None, mark: bool = False) -> None:
+    """Article columns with a header. `files` bounds the number of files; without it every partition writes its own.
+
+    With `mark` every file begins with a byte order mark, as spreadsheet programs want it; the mark is part of the first header.
+    """
     rows = project(df)
     rows = rows.coalesce(files) if files else rows
+    rows = rows.withColumnRenamed(ARTICLE[0], "\ufeff" + ARTICLE[0]) if mark else rows
     rows.write.mode("overwrite").options(**CSV).csv(path)
 
 
+def is_blank(spark: SparkSession, path: str) -> bool:
+    """No more than one line that is not blank: nothing but a header."""
+    return len(spark.read.text(path).where(F.trim(F.regexp_replace("value", "[\ufeff\r\t]", " ")) != "").take(2)) <= 1
+
+
 def read_csv(spark: SparkSession, path: str, na: bool = True) -> DataFrame:
     """Article texts of a CSV with a header; line feeds in quotes are text. With `na`, marks of missing values become ''.
 
@@ -52,6 +50,16 @@ def read_csv(spark: SparkSession, path: str, na: bool = True) -> DataFrame:
     return rows.select(*(F.when(F.col(c).isin(*MISSING), "").otherwise(F.col(c)).alias(c) for c in ARTICLE)) if na else rows
 
 
+def write_json_array(df: DataFrame, path: str) -> None:
+    """One text file that holds the articles as an array, an object a line: for readers that want a whole document. Texts go through one writer,
+    a line at a time; nothing is collected."""
+    rows = df.withColumn("_ord", F.monotonically_increasing_id()).select(F.col("_ord"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    edges = df.sparkSession.createDataFrame([(-1, "["), (2**62, "]")], "_ord long, value string")
+    first = F.col("_ord") == rows.agg(F.min("_ord")).first()[0]
+    rows = rows.select("_ord", F.when(first, F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
+    rows.union(edges).repartition(1).sortWithinPartitions("_ord").select("value").write.mode("overwrite").text(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """One object a line, all columns, non-ASCII as it is."""
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
@@ -104,5 +112,6 @@ def write_outputs(latest: DataFrame, master: DataFrame, date: str, path: str) ->
 
 
 def keep_newest(paths: DataFrame, n: int = 14, order: str = "modified") -> DataFrame:
-    """Which backups stay: the newest n (columns path and the order column)."""
-    return paths.withColumn("kept", F.row_number().over(Window.orderBy(F.desc(order), F.desc("path"))) <= n)
+    """Which backups stay: the newest n (columns path, one row each, and the order column). A top-n, not a window over all."""
+    newest = paths.orderBy(F.desc(order), F.desc("path")).limit(n).select("path", F.lit(True).alias("kept"))
+    return paths.join(newest, "path", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
