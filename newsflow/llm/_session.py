@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import scratch as shared_dir
+
 #: Bytes of one Arrow batch handed to Python; long texts make 10,000-row batches too large.
 BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder under spark.checkpoint.dir, which every executor sees.
-
-    Only where that setting is absent and the master is local (tests on one machine) a temporary folder is chosen and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="newsflow-")
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/newsflow/{tag}-{uuid.uuid4().hex[:12]}"
-
-
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession

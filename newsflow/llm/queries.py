@@ -11,7 +11,7 @@ from ._session import bucket_of, table, written
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = lm_scoring.fit(docs.where(bucket_of("doc_id", 7) != 2))
+    model = lm_scoring.fit(docs.where(bucket_of("doc_id", 7) != 2), order=2)
     return lm_scoring.score(docs, model).select("*", (bucket_of("doc_id", 7) == 2).alias("held_out"))
 
 
