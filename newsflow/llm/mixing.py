@@ -74,7 +74,9 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     kept = [c for c in (columns or docs.columns) if c in docs.columns and c.lower() not in made]
     row = F.struct(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(kept))).alias("row") if kept else F.lit(None).alias("row")
     wide = docs.select(row, F.col(quoted(source)).alias("_src"), n_words(quoted(text)).alias("size"), order_key(quoted(doc_id), seed))
-    measured = docs.select(F.col(quoted(source)).alias("source"), n_words(quoted(text)).alias("size"), order_key(quoted(doc_id), seed))
+    # Without the texts the rows are small: sizes are counted once and written. With them, counting twice is cheaper than copying all texts.
+    wide = wide if text in kept else written(wide, "mix-sizes")
+    measured = wide.select(F.col("_src").alias("source"), "size", "h")
     goal = plan(measured, **how)
     df = wide.withColumn("bucket", _bucket()).join(goal, F.col("_src").eqNullSafe(F.col("_source")))
     inside = F.col("bucket") == F.col("cut")
