@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._arrays import mapped, store
 from ._session import shared_dir, small_batches, written
-from .lm_scoring import _mapped, _store
 
 U = np.uint64
 #: Regular expressions (RE2) of the end of a paragraph and of a sentence.
@@ -129,13 +129,13 @@ class _Frequencies:
     def store(self, key: tuple, rows: pa.Table) -> pa.Table:
         term, n = rows.column("term").to_numpy().view(U), rows.column("n").to_numpy()
         order = np.argsort(term)
-        _store(self.path, f"term-{key[0].as_py()}", term[order])
-        _store(self.path, f"n-{key[0].as_py()}", n[order])
+        store(self.path, f"terms-{key[0].as_py()}", {"term": term[order], "n": n[order]})
         return pa.table({"n": pa.array([len(term)], pa.int64())})
 
     def get(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
         if shard not in self.open:
-            self.open[shard] = _mapped(self.path, f"term-{shard}"), _mapped(self.path, f"n-{shard}")
+            held = mapped(self.path, f"terms-{shard}")
+            self.open[shard] = held.get("term", np.zeros(0, U)), held.get("n", np.zeros(0, np.int64))
         return self.open[shard]
 
     def of(self, h: np.ndarray) -> np.ndarray:
