@@ -165,6 +165,32 @@ def test_rollups_are_idempotent(spark, docs):
     assert store.totals().count() == 0
     with pytest.raises(ValueError):
         store.commit("../x", one)
+    with pytest.raises(ValueError, match="other rows"):
+        store.commit("a", two)
+
+
+def test_rollups_survive_broken_commits_and_compaction(spark, docs, monkeypatch):
+    store = token_rollups.Rollups(spark)
+    one = token_rollups.signed(docs, "space-1", token_rollups.space_words("text"), 1)
+    two = token_rollups.signed(docs, "alnum-1", token_rollups.alnum_words("text"), 1)
+    rows = lambda: sorted(map(str, store.totals().collect()))
+    with monkeypatch.context() as broken:  # a writer that goes down between its data and its commit
+        broken.setattr(token_rollups.Rollups, "_create", lambda *_: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError):
+            store.commit("a", one)
+    assert store.totals().count() == 0 and store.commit("a", one) and not store.commit("a", one)
+    assert store.commit("b", two)
+    before = rows()
+    other = token_rollups.Rollups(spark, store.path)  # another writer of the same store
+    assert not other.commit("b", two) and rows() == before
+    store.compact()
+    assert rows() == before and len(store._folders()[0]) == 1
+    store.compact()
+    assert not store.commit("a", one) and rows() == before
+    store.commit("c", two.withColumn("sign", F.lit(-1)))
+    assert len(store._folders()[0]) == 2 and {r.tokenizer for r in store.totals().collect()} == {"space-1"}
+    store.compact()
+    assert {r.tokenizer for r in other.totals().collect()} == {"space-1"}
 
 
 def test_bpe_tokens(spark):
