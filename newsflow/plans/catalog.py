@@ -223,10 +223,10 @@ query("backfill_schema", "SELECT id, CASE WHEN trim(updated_at) = '' THEN create
     lambda v: v.articles.select("id", F.when(tx.blank("updated_at"), F.col("created_at")).otherwise(F.col("updated_at")).alias("updated_at"), F.when((F.col("status") == "approved") & (F.col("approved_at") == ""), F.coalesce(tx.filled("reviewed_at"), "updated_at")).otherwise(F.col("approved_at")).alias("approved_at")))
 _TAKE = ("source", "title", "published_at", "crawled_at", "thumbnail", "newspaper_type", "content_topic", "category")
 _UP = ", ".join(f"max_by({c}, ord) FILTER (WHERE trim({c}) <> '') AS n_{c}" for c in _TAKE) + ", " + ", ".join(f"min_by({c}, ord) FILTER (WHERE trim({c}) <> '') AS n_{c}" for c in ("summary", "summary_source"))
-query("cms_upsert", f"""WITH g AS (SELECT * FROM incoming_v WHERE trim(source) NOT IN ('Dân trí', '24h') AND trim(title) <> ''), u AS (SELECT url, {_UP} FROM g WHERE trim(url) <> '' GROUP BY url), c AS (SELECT * FROM articles_v WHERE id % 3 = 1)
+query("cms_upsert", f"""WITH g AS (SELECT * FROM incoming_v WHERE trim(source) NOT IN ('Dân trí', '24h') AND trim(title) <> ''), u AS (SELECT url, {_UP} FROM g WHERE trim(url) <> '' GROUP BY url), c AS (SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN '' ELSE url END AS url) FROM articles_v)
 SELECT id, c.url, {', '.join(f'coalesce(n_{c}, {c}) AS {c}' for c in _TAKE)}, CASE WHEN trim(summary) = '' THEN coalesce(n_summary, summary) ELSE summary END AS summary, CASE WHEN trim(summary_source) = '' THEN coalesce(n_summary_source, summary_source) ELSE summary_source END AS summary_source, status, CASE WHEN n_title IS NOT NULL THEN '2024-02-10 10:00:00' ELSE updated_at END AS updated_at FROM c LEFT JOIN u ON u.url = c.url
 UNION ALL SELECT NULL, url, {', '.join(f"coalesce(n_{c}, '')" for c in (*_TAKE, 'summary', 'summary_source'))}, 'pending', '2024-02-10 10:00:00' FROM u WHERE url NOT IN (SELECT url FROM c)
-UNION ALL SELECT NULL, url, {', '.join((*_TAKE, 'summary', 'summary_source'))}, 'pending', '2024-02-10 10:00:00' FROM g WHERE trim(url) = ''""")(lambda v: ar.upsert(v.articles.where("id % 3 = 1"), v.incoming, "2024-02-10 10:00:00"))
+UNION ALL SELECT NULL, url, {', '.join((*_TAKE, 'summary', 'summary_source'))}, 'pending', '2024-02-10 10:00:00' FROM g WHERE trim(url) = ''""")(lambda v: ar.upsert(v.articles.withColumn("url", F.when(F.col("id") % 3 == 0, "").otherwise(F.col("url"))), v.incoming, "2024-02-10 10:00:00"))
 
 # Text -------------------------------------------------------------------------------------------------------------------
 query("clean_text", "SELECT doc_id, trim(regexp_replace(text, '[\\s\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')) AS t FROM documents")(lambda v: v.documents.select("doc_id", tx.clean("text").alias("t")))
