@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, license_texts, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_rollups, warc
+from . import decontamination, filter_audit, license_scan, license_texts, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_rollups, warc
 from ._session import bucket_of, table, written
 
 
@@ -73,11 +73,16 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_scoring, op2_quality_rules, op3_token_counts, op4_benchmark_decontamination, op5_quality_classifier,
         op6_warc, op7_suffix_array_dedup, op8_mixing, op9_license_scan, op10_ngram_jaccard_join,
+        op11_filter_audit,
     )
 }
 
@@ -136,5 +141,26 @@ SELECT source, lang, 'space-1' AS tokenizer, count(*) AS docs, CAST(sum(s) AS BI
 UNION ALL SELECT source, lang, 'alnum-1', count(*), CAST(sum(a) AS BIGINT) FROM d GROUP BY ALL
 """
 
+_OP11 = rf"""
+WITH d AS (SELECT coalesce(source, '') AS part, doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+least_ids AS (SELECT t, min(doc_id) AS m FROM d GROUP BY t),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, CAST(len(w) < 200 AS INT) AS a, CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT) AS b,
+  CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS INT) AS c, CAST(regexp_matches(t, '[#$%&*|]') AS INT) AS d,
+  CAST(coalesce(d.doc_id > m, false) AS INT) AS e, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM d JOIN least_ids USING (t) LEFT JOIN l ON d.doc_id = l.doc_id),
+g AS (SELECT part, a, b, c, d, e, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM letter p, letter q, letter r, letter s, letter t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+z AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS x, n, good, toxic,
+  list_transform(string_split(filter_order, ''), lambda y: CASE y WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END) AS fails FROM g, o, unnest(range(1, 6)) AS u(step)),
+y AS (SELECT *, list_sum(fails[1:step - 1]) > 0 AS gone, fails[step] = 1 AS hit, list_sum(fails) AS n_fails FROM z),
+r AS (SELECT part, filter_order, step, x, sum(CASE WHEN NOT coalesce(gone, false) AND NOT hit THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT coalesce(gone, false) AND hit THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN coalesce(gone, false) AND hit THEN n ELSE 0 END) AS redundant, sum(CASE WHEN hit AND n_fails = 1 THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN NOT coalesce(gone, false) AND hit THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT coalesce(gone, false) AND hit THEN toxic ELSE 0 END) AS toxic_lost FROM y GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM r
+"""
+
 #: DuckDB SQL for the queries that SQL expresses.
-ORACLES: dict[str, str] = {"op3_token_counts": _OP3, "op2_quality_rules": _OP2, "op6_warc": _OP6, "op8_mixing": _OP8}
+ORACLES: dict[str, str] = {"op3_token_counts": _OP3, "op2_quality_rules": _OP2, "op6_warc": _OP6, "op8_mixing": _OP8, "op11_filter_audit": _OP11}
