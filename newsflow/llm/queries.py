@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, filter_audit, license_scan, license_texts, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_rollups, warc
+from . import decontamination, filter_audit, license_scan, license_texts, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, recompression, suffix_dedup, token_rollups, warc
 from ._session import bucket_of, table, written
 
 
@@ -77,12 +77,17 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = recompression.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_scoring, op2_quality_rules, op3_token_counts, op4_benchmark_decontamination, op5_quality_classifier,
         op6_warc, op7_suffix_array_dedup, op8_mixing, op9_license_scan, op10_ngram_jaccard_join,
-        op11_filter_audit,
+        op11_filter_audit, op13_recompression,
     )
 }
 
@@ -162,5 +167,15 @@ SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS ke
   CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM r
 """
 
+_OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT r, doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS x FROM d, unnest(range(1, len(w) - 48)) AS t(i)),
+least_ids AS (SELECT x, min(doc_id) AS m FROM win GROUP BY x),
+gone AS (SELECT DISTINCT r, i + k AS i FROM win JOIN least_ids USING (x), unnest(range(0, 50)) AS t(k) WHERE doc_id > m),
+word AS (SELECT r, i, w[i] AS x FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS x, count(*) AS n FROM word ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(x, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
 #: DuckDB SQL for the queries that SQL expresses.
-ORACLES: dict[str, str] = {"op3_token_counts": _OP3, "op2_quality_rules": _OP2, "op6_warc": _OP6, "op8_mixing": _OP8, "op11_filter_audit": _OP11}
+ORACLES: dict[str, str] = {"op3_token_counts": _OP3, "op2_quality_rules": _OP2, "op6_warc": _OP6, "op8_mixing": _OP8, "op11_filter_audit": _OP11, "op13_recompression": _OP13}
