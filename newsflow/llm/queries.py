@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, filter_audit, license_scan, license_texts, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, recompression, suffix_dedup, token_rollups, warc
+from . import decontamination, filter_audit, license_scan, license_texts, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, recompression, suffix_dedup, token_rollups, turns, warc
 from ._session import bucket_of, table, written
 
 
@@ -77,6 +77,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_turn_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = turns.run(table(spark, sf_dir, "conversations"))
+    content = F.when(F.col("event") == "close", F.col("unreleased")).otherwise(F.concat("role", F.lit("|"), "text"))
+    return events.select("event", F.sha2(F.encode(content, "UTF-8"), 256).alias("sha256"), "conv_id", "turn", "batch", "n_missing", "n_breaks")
+
+
 def op13_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = recompression.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -87,7 +93,7 @@ QUERIES = {
     for f in (
         op1_lm_scoring, op2_quality_rules, op3_token_counts, op4_benchmark_decontamination, op5_quality_classifier,
         op6_warc, op7_suffix_array_dedup, op8_mixing, op9_license_scan, op10_ngram_jaccard_join,
-        op11_filter_audit, op13_recompression,
+        op11_filter_audit, op12_turn_reassembly, op13_recompression,
     )
 }
 
@@ -177,5 +183,22 @@ kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS x, count(*) AS n FROM word A
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(x, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
 """
 
+_OP12 = """
+WITH d AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  CAST('0x' || substr(sha256(coalesce(CAST(conv_id AS VARCHAR), '') || ':' || CAST(turn AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM conversations WHERE turn IS NOT NULL),
+c AS (SELECT conv_id, turn, h % 8 AS batch, role, text FROM d UNION ALL SELECT conv_id, turn, (h + 3) % 8, 'user', text FROM d WHERE h % 7 < 2),
+a AS (SELECT conv_id, turn, batch, min({'payload': role || '|' || text, 'role': role}) AS p FROM c GROUP BY ALL),
+b AS (SELECT conv_id, batch, coalesce(lead(batch) OVER (PARTITION BY conv_id ORDER BY batch), 99) AS next FROM (SELECT DISTINCT conv_id, batch FROM a)),
+z AS (SELECT conv_id, min(least(batch + 3, 8)) AS closing FROM b WHERE next > batch + 3 GROUP BY conv_id),
+k AS (SELECT a.conv_id, turn, min(batch) AS batch, arg_min(p, batch) AS p FROM a JOIN z ON a.conv_id IS NOT DISTINCT FROM z.conv_id WHERE batch <= closing GROUP BY ALL),
+f AS (SELECT conv_id, min(turn) AS first FROM d GROUP BY conv_id),
+r AS (SELECT k.conv_id, turn, p, first, max(batch) OVER w AS released, row_number() OVER w = turn - first + 1 AS gapless,
+  coalesce(lag(turn) OVER w = turn - 1 AND lag(p.role) OVER w = p.role, false) AS breaks FROM k JOIN f ON k.conv_id IS NOT DISTINCT FROM f.conv_id WINDOW w AS (PARTITION BY k.conv_id ORDER BY turn)),
+e AS (SELECT conv_id, max(turn) - min(first) + 1 - count(*) AS n_missing, count_if(breaks) AS n_breaks, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) FILTER (NOT gapless) AS left_over FROM r GROUP BY conv_id)
+SELECT 'release' AS event, sha256(p.payload) AS sha256, conv_id, turn, CAST(released AS BIGINT) AS batch, CAST(NULL AS BIGINT) AS n_missing, CAST(NULL AS BIGINT) AS n_breaks FROM r WHERE gapless
+UNION ALL SELECT 'reject', sha256(p.payload), a.conv_id, turn, CAST(batch AS BIGINT), NULL, NULL FROM a JOIN z ON a.conv_id IS NOT DISTINCT FROM z.conv_id WHERE batch > closing
+UNION ALL SELECT 'close', sha256(coalesce(left_over, '')), e.conv_id, -1, CAST(closing AS BIGINT), CAST(n_missing AS BIGINT), CAST(n_breaks AS BIGINT) FROM e JOIN z ON e.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
+
 #: DuckDB SQL for the queries that SQL expresses.
-ORACLES: dict[str, str] = {"op3_token_counts": _OP3, "op2_quality_rules": _OP2, "op6_warc": _OP6, "op8_mixing": _OP8, "op11_filter_audit": _OP11, "op13_recompression": _OP13}
+ORACLES: dict[str, str] = {"op3_token_counts": _OP3, "op2_quality_rules": _OP2, "op6_warc": _OP6, "op8_mixing": _OP8, "op11_filter_audit": _OP11, "op12_turn_reassembly": _OP12, "op13_recompression": _OP13}
