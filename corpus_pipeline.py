@@ -27,8 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of over 50 words that repeat (in strings of 256 bytes and more) are cut out of the texts, and n_chars follows the text."""
-    cut = suffix_dedup.deduplicate(docs, least=suffix_dedup.FINE, words=suffix_dedup.PASSAGE_WORDS)
+    """Passages of over 50 words that repeat, however short the words, are cut out of the texts, and n_chars follows the text."""
+    cut = suffix_dedup.deduplicate(docs, passage=suffix_dedup.PASSAGE_WORDS)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 

@@ -18,7 +18,8 @@
    counted by hash instead (map-side sums again), which is exact and free of groups.
 
 Bytes of a text covered by repeats are merged to spans. With `fine` (bytes, fewer than `least`) the anchors are chosen for
-strings of `fine` bytes, so one pass finds the repeats of both lengths.
+strings of `fine` bytes, so one pass finds the repeats of both lengths. Passages of words, whatever their bytes, are found by the
+same array on coded texts: each word is a code of CODE bytes (a hash of it), so W words are a string of W * CODE bytes.
 Rows are identified by hashes of id and text, so ids of any type, repeated rows and repeated ids are well defined: a text that
 occurs in two rows repeats itself. Null and empty texts have no bytes. Other columns are kept by `deduplicate` and ignored else.
 """
@@ -26,6 +27,7 @@ occurs in two rows repeats itself. Null and empty texts have no bytes. Other col
 from __future__ import annotations
 
 import hashlib
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -41,6 +43,8 @@ U = np.uint64
 LEAST, K = 400, 32
 #: Bytes from which repeats are looked for where passages count by words, and the words of such a passage.
 FINE, PASSAGE_WORDS = 256, 51
+#: Bytes of the code of a word.
+CODE = 8
 #: Different contexts of one anchor that one task holds.
 GROUP = 100_000
 #: Copies from which a context is one of the hot ones, and the most hot ones (two numbers each) that a task is given.
@@ -48,6 +52,7 @@ OFTEN, HOT_KEYS = 500, 50_000
 #: Entries of a shard that are sorted together.
 SHARD = 40_000
 PIECE = 1 << 19
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def window_argmin(h: np.ndarray, w: int) -> np.ndarray:
@@ -446,10 +451,39 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
     """
     small_batches(docs.sparkSession)
     fine = fine or least
-    long = docs.select(*_key_columns(text, doc_id)).where(F.octet_length("text") >= fine)
+    return _spans(docs.select(*_key_columns(text, doc_id)).where(F.octet_length("text") >= fine), least, k, group, often, fine)
+
+
+def repeated_words(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = PASSAGE_WORDS, k: int = K, group: int = GROUP, often: int = OFTEN) -> DataFrame:
+    """Per row key (k1, k2) the spans of bytes of the coded text that repeats of `words` white-space words cover, not merged.
+
+    A code is a hash of 64 bits: strings of codes that are equal but for whole codes differ in their bytes, but for one pair of words in 2^64.
+    """
+    small_batches(docs.sparkSession)
+    coded = docs.select(*_key_columns(text, doc_id)).mapInArrow(_code_task(words), "k1 int, k2 bigint, text binary")
+    return _spans(coded, words * CODE, min(k, words * CODE), group, often, words * CODE)
+
+
+def _code_task(words: int):
+    """Texts of `words` words or more as the codes of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.slices(batch, "text"):
+                h, bounds = T.words(part.column("text"), T.NON_SPACE, fold=False)
+                long = np.diff(bounds) >= words
+                raw, keys = h.tobytes(), part.select(["k1", "k2"]).filter(pa.array(long))
+                codes = [raw[CODE * a : CODE * b] for a, b in zip(bounds[:-1][long].tolist(), bounds[1:][long].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(codes, pa.binary())], ["k1", "k2", "text"])
+
+    return run
+
+
+def _spans(long: DataFrame, least: int, k: int, group: int, often: int, fine: int) -> DataFrame:
+    """Spans of the rows (k1, k2, text: string or binary), those with any."""
     found, twice, contexts = _repeated(long, least, k, fine)
     entries = written(_entries(long, contexts.where("several"), group, least, k), "repeat-entries")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     single = entries.where("not hot").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_shard_task(_reaches(least, k, fine)), REACH)
     # Contexts of very many copies are few: their keys go to the map that merges their spans, all others through a join.
     many = contexts.where(F.col("n") >= often).select("n").orderBy(F.desc("n")).limit(HOT_KEYS + 1).agg(F.count("*").alias("rows"), F.min("n").alias("n")).first()
@@ -512,15 +546,20 @@ def merge_spans(first: np.ndarray, last: np.ndarray, n: int) -> list[tuple[int,
     return list(zip(a[new].tolist(), b[np.concatenate((new[1:], [len(a)])) - 1].tolist(), strict=True))
 
 
-def _merged(batch: pa.RecordBatch, names: tuple[str, str] = ("first", "last")) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
-    """Every text's bytes with its merged spans."""
+def _each(batch: pa.RecordBatch, names: tuple[str, str] = ("first", "last")) -> Iterator[tuple[bytes, tuple[np.ndarray, np.ndarray]]]:
+    """Every text's bytes with its spans."""
     spans = batch.column("spans")
     off = np.concatenate(([0], np.cumsum(spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
     flat = spans.flatten()
     first, last = (flat.field(x).to_numpy() for x in names)
     for i, text in enumerate(batch.column("text")):
-        raw = text.as_py().encode()
-        yield raw, merge_spans(first[off[i] : off[i + 1]], last[off[i] : off[i + 1]], len(raw))
+        yield text.as_py().encode(), (first[off[i] : off[i + 1]], last[off[i] : off[i + 1]])
+
+
+def _merged(batch: pa.RecordBatch, names: tuple[str, str] = ("first", "last")) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
+    """Every text's bytes with its merged spans."""
+    for raw, spans in _each(batch, names):
+        yield raw, merge_spans(*spans, len(raw))
 
 
 def _passages(raw: bytes, runs: list[tuple[int, int]], words: int) -> tuple[list[tuple[int, int]], int]:
@@ -555,12 +594,21 @@ def _report_task(least: int, fine: bool, words: int):
     return run
 
 
-def _cut_task(words: int):
+def _word_runs(raw: bytes, first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
+    """Bytes from the first to the last whole word of every run, given spans of the coded text."""
+    places = [m.span() for m in _WORD.finditer(raw)]
+    runs = merge_spans(-(-first // CODE), last // CODE, len(places))
+    return [(places[a][0], places[b - 1][1]) for a, b in runs]
+
+
+def _cut_task(words: int, coded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            for raw, runs in _merged(batch):
-                kept.append(_without(raw, _passages(raw, runs, words)[0] if words else runs).decode("utf-8", "ignore"))  # a cut inside a character drops its rest
+            for raw, spans in _each(batch):
+                runs = _word_runs(raw, *spans) if coded else merge_spans(*spans, len(raw))
+                runs = _passages(raw, runs, words)[0] if words else runs
+                kept.append(_without(raw, runs).decode("utf-8", "ignore"))  # a cut inside a character drops its rest
             yield batch.drop_columns(["spans", "text"]).append_column("kept", pa.array(kept, pa.string()))
 
     return run
@@ -575,12 +623,14 @@ def report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fine: in
     return rows.join(found, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(_report_task(least, bool(fine) and fine < least, words), schema)
 
 
-def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 0, **names) -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 0, passage: int = 0, **names) -> DataFrame:
     """docs with the repeated bytes cut out of the texts; all other columns stay as they are.
 
-    With `words`, covered runs of fewer white-space words stay. A character cut in the middle is dropped whole. Null texts stay null.
+    With `words`, covered runs of fewer white-space words stay. With `passage`, what repeats is passages of so many white-space words, whatever
+    their bytes and the white space between them; they go from their first to their last word. A character cut in the middle is
+    dropped whole. Null texts stay null.
     """
-    found = repeats(docs, text, doc_id, **names)
+    found = repeated_words(docs, text, doc_id, passage, **names) if passage else repeats(docs, text, doc_id, **names)
     own, spans = free_name("_row", docs.columns), free_name("_spans", docs.columns)
     numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     at = docs.columns.index(text)
@@ -590,6 +640,6 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
     untouched = rows.where(F.col(spans).isNull()).select(f"{own}.*")
     rest = [c for c in numbered.columns if c != f"c{at}"]
     cut = rows.where(F.col(spans).isNotNull()).select(F.struct(*(F.col(f"{own}.{c}").alias(c) for c in rest)).alias("row"), "text", F.col(spans).alias("spans"))
-    cut = cut.mapInArrow(_cut_task(words), f"row {cut.schema['row'].dataType.simpleString()}, kept string")
+    cut = cut.mapInArrow(_cut_task(words, passage > 0), f"row {cut.schema['row'].dataType.simpleString()}, kept string")
     out = untouched.unionByName(cut.select(*(F.col("kept").alias(c) if c == f"c{at}" else F.col(f"row.{c}") for c in numbered.columns)))
     return out.toDF(*docs.columns)

@@ -44,20 +44,21 @@ def representatives(rows):
     return sorted(least.values())
 
 
-def cut(rows, least=256, passage=51):
-    seen = collections.Counter()
-    coded = [(i, (t or "").encode()) for i, t in rows]
-    for _, b in coded:
-        seen.update(b[p : p + least] for p in range(len(b) - least + 1))
+def cut(rows, passage=51):
+    """Texts without the passages of 51 words that occur twice, from the first to the last word of each run."""
+    places = {i: [m.span() for m in re.finditer(SPACE, t or "")] for i, t in rows}
+    seen = collections.Counter(tuple(t[x:y] for x, y in places[i][p : p + passage]) for i, t in rows for p in range(len(places[i]) - passage + 1))
     out = {}
-    for i, b in coded:
-        covered = bytearray(len(b))
-        for p in range(len(b) - least + 1):
-            if seen[b[p : p + least]] > 1:
-                covered[p : p + least] = b"\1" * least
-        edges = [p for p in range(len(b) + 1) if (covered[p] if p < len(b) else 0) != (covered[p - 1] if p else 0)]
-        runs = [(x, y) for x, y in zip(edges[::2], edges[1::2], strict=True) if len(b[x:y].split()) >= passage]
-        out[i] = b"".join(b[y:x] for y, x in zip([0, *(y for _, y in runs)], [*(x for x, _ in runs), len(b)], strict=True)).decode("utf-8", "ignore")
+    for i, t in rows:
+        at, covered = places[i], [0] * (len(places[i]) + 1)
+        for p in range(len(at) - passage + 1):
+            if seen[tuple(t[x:y] for x, y in at[p : p + passage])] > 1:
+                covered[p : p + passage] = [1] * passage
+        edges = [p for p in range(len(covered)) if covered[p] != (covered[p - 1] if p else 0)]
+        left, end = "", 0
+        for x, y in zip(edges[::2], edges[1::2], strict=True):
+            left, end = left + t[end : at[x][0]], at[y - 1][1]
+        out[i] = left + (t or "")[end:]
     return out
 
 
@@ -72,10 +73,11 @@ def tables(spark, tmp_path_factory):
     random.seed(3)
     vocabulary = [f"word{i}" for i in range(900)]
     prose = lambda n: " ".join(random.choices(vocabulary, k=n))
+    tiny = " ".join(random.choices("ab c de f é gh".split(), k=60))  # 60 words in fewer than 200 bytes
     passage, short, items = prose(60), prose(45), [(i, prose(14)) for i in range(4)] + [(9, None), (10, "")]
     rows = []
     for i in range(160):
-        text = f"{prose(40)} {passage} {prose(40)}" if i % 10 == 1 else f"{prose(40)} {short} {prose(40)}" if i % 10 == 5 else f"{prose(30)} {items[i % 4][1]} {prose(30)}" if i % 10 == 2 else prose(random.randint(40, 90))
+        text = f"{prose(40)} {passage} {prose(40)}" if i % 10 == 1 else f"{prose(40)} {short} {prose(40)}" if i % 10 == 5 else f"{prose(30)} {items[i % 4][1]} {prose(30)}" if i % 10 == 2 else f"{prose(50)} {tiny} {prose(50)}" if i % 10 == 6 else prose(random.randint(40, 90))
         if i % 10 in (3, 4):
             text = "$$$ BUY### now!!! " * random.randint(15, 40)
         rows.append((i, text, "en", f"s{i % 3}" if i % 7 else None, len(text)))
@@ -114,7 +116,7 @@ def test_stages_equal_brute_force(spark, tables):
     want = cut(before)
     assert {i: t or "" for i, t in after} == want
     # Passages of 60 words went everywhere, those of 45 stay.
-    assert all((len(want[i]) < len(t)) == (i % 10 == 1) for i, t in before if i < 160)
+    assert all((len(want[i]) < len(t)) == (i % 10 in (1, 6)) for i, t in before if i < 160)
     before, after = kept["benchmark decontamination"]
     assert after == [(i, t) for i, t in before if not leaked(t, items)] and len(after) < len(before)
     mixed = P.STAGES[-1][1](spark, docs, folder).collect()

@@ -113,3 +113,20 @@ def test_groups_are_the_maximal_repeats(spark):
             cover[d][p : p + len(s)] = b"\1" * len(s)
     assert cover == covered(texts, least)
     assert D.maximal_repeats(df.limit(0), least=least, k=k).count() == 0
+
+
+@pytest.mark.parametrize("seed,words,group", [(1, 51, 100_000), (2, 6, 100_000), (3, 6, 3)])
+def test_passages_of_short_words(spark, seed, words, group):
+    rng = random.Random(seed)
+    prose = lambda n: [rng.choice(["a", "b", "é", "I", "to", "of", "zz"]) for _ in range(n)]
+    passages = [prose(words + rng.randrange(-2, 4)) for _ in range(5)]
+    docs = [(i, rng.choice([" ", "\n", "  "]).join(prose(rng.randrange(40)) + rng.choice(passages) + prose(rng.randrange(40)))) for i in range(80)]
+    docs += [(200, "a " * 3 * words), (201, "b"), (202, None), (203, ""), docs[3], (None, docs[4][1])]
+    split = [(t or "").split() for _, t in docs]
+    seen = collections.Counter(tuple(w[p : p + words]) for w in split for p in range(len(w) - words + 1))
+    want = []
+    for (i, _), w in zip(docs, split, strict=True):
+        gone = {q for p in range(len(w) - words + 1) if seen[tuple(w[p : p + words])] > 1 for q in range(p, p + words)}
+        want.append((i, [x for q, x in enumerate(w) if q not in gone]))
+    got = D.deduplicate(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), passage=words, group=group, often=3)
+    assert sorted(((r.doc_id, (r.text or "").split()) for r in got.collect()), key=str) == sorted(want, key=str)
