@@ -7,7 +7,7 @@
 2. Interior symbols. Each symbol carries the interval of words that its making depended on. Where two texts agree on that interval, both
    have the symbol, at the same place. The anchor of a window is the first of its highest symbols whose interval lies inside the window:
    equal windows have equal anchors, whatever stands around them (words at least are always there).
-3. Shared symbols. Neighbouring windows with one anchor are one row: anchor, hash of their whole context, document, place. A symbol that
+3. Shared symbols. Neighbouring windows with anchors of one name are one row: anchor, hash of their whole context, document, place. A symbol that
    has one context in one document, as almost all text has, repeats nothing and goes. A context that a smaller document has too is
    repeated as a whole. What is left are symbols with different contexts; of each context the smallest document stands for all.
 4. Verification. Only for those the single windows are hashed (128 bits), and the smallest document of each is found.
@@ -36,9 +36,11 @@ from ._session import forget, quoted, small_batches, written
 U = np.uint64
 WINDOW = 50
 #: Rounds of pairs, and those of them that a round of runs precedes.
-ROUNDS, RUN_ROUNDS = 10, (0, 3)
+ROUNDS, RUN_ROUNDS = 8, (0, 3)
+#: Share of a window that the making of its anchor may have depended on: the less, the more windows have one anchor; the more, the rarer it is.
+DEPENDENCE = 0.6
 #: Words that a task settles together before it hands rows on.
-CHUNK = 2_000_000
+CHUNK = 400_000
 _BASES = (0xC2B2AE3D27D4EB4F | 1, 0x165667B19E3779F9 | 1)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -80,9 +82,9 @@ def levels(words: np.ndarray, bounds: np.ndarray, window: int) -> tuple[list[Lev
     n = len(words) + docs + 1
     sym, edge = np.zeros(n, U), np.ones(n, bool)
     sym[place], edge[place] = words, False
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     end = np.repeat(bounds[1:] + np.arange(docs) + 1, size)
-    starts = place[place + window <= end]
+    starts = place[place + window <= end].astype(np.int32)
     level: Level = (sym, at, at, at + 1)
     out = [level]
     for r in range(ROUNDS):
@@ -96,15 +98,18 @@ def levels(words: np.ndarray, bounds: np.ndarray, window: int) -> tuple[list[Lev
 
 
 def anchors(all_levels: list[Level], starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(name, key of the occurrence) of the anchor of every window."""
-    name, where = np.zeros(len(starts), U), np.zeros(len(starts), np.int64)
+    """(name, place) of the anchor of every window."""
+    name, where = np.zeros(len(starts), U), np.zeros(len(starts), np.int32)
     open_ = np.arange(len(starts))
     for k in range(len(all_levels) - 1, -1, -1):
         sym, start, lo, hi = all_levels[k]
-        s = starts[open_]
-        a = np.minimum(np.searchsorted(lo, s), len(lo) - 1)
+        usable = np.flatnonzero(hi - lo <= max(1, DEPENDENCE * window))
+        if not len(usable):
+            continue
+        s, low = starts[open_], lo[usable]
+        a = usable[np.minimum(np.searchsorted(low, s), len(low) - 1)]
         fits = (lo[a] >= s) & (hi[a] <= s + window)
-        name[open_[fits]], where[open_[fits]] = sym[a[fits]], start[a[fits]] * len(all_levels) + k
+        name[open_[fits]], where[open_[fits]] = sym[a[fits]], start[a[fits]]
         open_ = open_[~fits]
         if not len(open_):
             break
@@ -173,9 +178,9 @@ def _anchor_task(window: int):
             all_levels, _, starts, of = levels(words, bounds, window)
             if not len(starts):
                 continue
-            name, where = anchors(all_levels, starts, window)
+            name, _ = anchors(all_levels, starts, window)
             new = np.ones(len(starts), bool)
-            new[1:] = (starts[1:] != starts[:-1] + 1) | (where[1:] != where[:-1])
+            new[1:] = (starts[1:] != starts[:-1] + 1) | (name[1:] != name[:-1])
             i = np.flatnonzero(new)
             n = np.diff(np.append(i, len(starts)))
             total = _prefix(all_levels[0][0], _BASES[0])
@@ -196,7 +201,11 @@ def _window_task(window: int):
             first = np.repeat(ranges[:, 1] - skipped, ranges[:, 2]) + np.arange(len(d))
             at = bounds[d] + first
             a, b = (_span(_prefix(w, base), base, at, at + window) for w, base in zip((words, T.mix(words)), _BASES, strict=True))
-            yield from _batches(doc[d], t[d], first, np.ones(len(d), np.int64), a, b, smallest(a, b, doc[d]))
+            new = np.ones(len(d), bool)  # equal windows one after the other, as in long runs, are one row
+            new[1:] = (d[1:] != d[:-1]) | (first[1:] != first[:-1] + 1) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            i = np.flatnonzero(new)
+            n = np.diff(np.append(i, len(d)))
+            yield from _batches(doc[d[i]], t[d[i]], first[i], n, a[i], b[i], smallest(a[i], b[i], doc[d[i]]))
 
     return run
 
@@ -236,15 +245,17 @@ def repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: s
     shared = written(keyed.join(named.select("a", "several"), "a"), "recompress-shared")
     least = F.min("doc").over(Window.partitionBy("a", "b"))
     contexts = written(shared.withColumn("repeated", F.col("doc") > least).where("repeated OR several"), "recompress-contexts")
+    forget(shared)
     asked = contexts.where("NOT repeated").groupBy("doc", "t").agg(F.collect_list(F.struct("first", "n")).alias("asked"))
-    windows = written(rows.dropDuplicates(["doc", "t"]).join(asked, ["doc", "t"]).mapInArrow(_window_task(window), ROWS), "recompress-windows")
-    later = windows.where("a IS NOT NULL").withColumn("least", least).where("doc > least")
-    settled = [found.where("a IS NULL"), contexts.where("repeated"), windows.where("a IS NULL"), later]
-    spans = settled[0].select("doc", "t", "first", "n")
-    for more in settled[1:]:
+    # A settled row has no key: it is given one of its own, so that it passes the window below without company.
+    windows = rows.join(asked, ["doc", "t"]).mapInArrow(_window_task(window), ROWS)
+    alone = windows.select("doc", "t", "first", "n", F.col("a").isNull().alias("settled"), F.coalesce("a", F.xxhash64("doc", "t")).alias("a"), F.coalesce("b", F.col("first").cast("bigint")).alias("b"))
+    later = alone.withColumn("least", least).where("settled OR doc > least")
+    spans = found.where("a IS NULL").select("doc", "t", "first", "n")
+    for more in (contexts.where("repeated"), later):
         spans = spans.unionAll(more.select("doc", "t", "first", "n"))
-    out = written(spans.groupBy("doc", "t").agg(F.collect_list(F.struct("first", "n")).alias("spans")), "recompress-spans")
-    forget(found, shared, contexts, windows)
+    out = written(spans.groupBy("doc", "t").agg(F.collect_set(F.struct("first", "n")).alias("spans")), "recompress-spans")
+    forget(found, contexts)
     return out
 
 
