@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._arrays import mapped, store
-from ._session import shared_dir, small_batches, written
+from ._session import quoted, shared_dir, small_batches, written
 
 U = np.uint64
 #: Regular expressions (RE2) of the end of a paragraph and of a sentence.
@@ -125,16 +125,19 @@ class _Frequencies:
 
     def __init__(self, path: str, shards: int):
         self.path, self.shards, self.open = path, shards, {}
+        self.sizes: dict[int, int] = {}
 
     def store(self, key: tuple, rows: pa.Table) -> pa.Table:
         term, n = rows.column("term").to_numpy().view(U), rows.column("n").to_numpy()
         order = np.argsort(term)
         store(self.path, f"terms-{key[0].as_py()}", {"term": term[order], "n": n[order]})
-        return pa.table({"n": pa.array([len(term)], pa.int64())})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(term)], pa.int64())})
 
     def get(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
         if shard not in self.open:
             held = mapped(self.path, f"terms-{shard}")
+            if len(held.get("term", ())) != self.sizes.get(shard, 0):
+                raise FileNotFoundError(f"shard {shard} of the frequencies in {self.path} has {len(held.get('term', ()))} of its {self.sizes.get(shard, 0)} terms")
             self.open[shard] = held.get("term", np.zeros(0, U)), held.get("n", np.zeros(0, np.int64))
         return self.open[shard]
 
@@ -159,7 +162,8 @@ def _corpus_frequencies(texts: DataFrame, t: _Templates) -> tuple[int, np.ndarra
     counted = written(texts.select("text").mapInArrow(_term_task, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")), "license-terms")
     kept = _Frequencies(shared_dir(spark, "license-frequencies"), shards)
     sharded = counted.where("term is not null and n > 1").withColumn("shard", F.shiftrightunsigned("term", 65 - shards.bit_length()))
-    written(sharded.groupBy("shard").applyInArrow(lambda key, rows: kept.store(key, rows), "n bigint"), "license-shards")
+    stored = written(sharded.groupBy("shard").applyInArrow(lambda key, rows: kept.store(key, rows), "shard int, n bigint"), "license-shards")
+    kept.sizes = {r["shard"]: r["n"] for r in stored.collect()}  # 4,096 shards at most
     mine = t.terms.view(np.int64).tolist()
     got = {r["term"]: r["n"] for r in counted.where(F.col("term").isNull() | F.col("term").isin(mine)).collect()}
     return got.get(None, 0), np.array([got.get(i, 0) for i in mine], float), kept
@@ -214,7 +218,7 @@ def match(files: DataFrame, text: str, row: Column, templates: dict[str, str] |
         raise ValueError("frequencies are those of the templates' terms or of the corpus")
     small_batches(files.sparkSession)
     t = _Templates(templates or TEMPLATES)
-    texts = files.select(row.alias("row"), F.col(text).alias("text"))
+    texts = files.select(row.alias("row"), F.col(quoted(text)).alias("text"))
     if frequencies == "corpus":
         n, seen, kept = _corpus_frequencies(texts, t)
         unknown = lambda h: np.log((1 + n) / (1 + kept.of(h))) + 1
@@ -229,8 +233,8 @@ def match(files: DataFrame, text: str, row: Column, templates: dict[str, str] |
 
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", doc_id: str = "doc_id", templates: dict[str, str] | None = None, least: float = LEAST, frequencies: str = "templates", passages: bool = False) -> DataFrame:
-    """Per row: doc_id, path, own licence and its cosine, the licence that holds for it, and the directory it comes from."""
-    found = written(match(files, text, F.struct(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(path).alias("path")), templates, least, frequencies, passages).select("row.doc_id", "row.path", "own", "cosine"), "license-own")
+    """Per row: doc_id (ids are whole numbers), path, own licence and its cosine, the licence that holds for it, and the directory it comes from."""
+    found = written(match(files, text, F.struct(F.col(quoted(doc_id)).cast("bigint").alias("doc_id"), F.col(quoted(path)).alias("path")), templates, least, frequencies, passages).select("row.doc_id", "row.path", "own", "cosine"), "license-own")
     parts = F.split("path", "/", -1)
     name, directory = F.element_at(parts, -1), F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
     granted = found.where(F.col("own").isNotNull() & name.rlike(LICENSE_FILES)).groupBy(directory.alias("dir"))

@@ -196,7 +196,7 @@ def _level_task(path: str, level: int, top: bool, shards: int):
             arrays |= {"context": c[first], "total": _narrow(np.add.reduceat(n, first))}
             arrays |= {f"seen{k}": _narrow(np.add.reduceat(seen.astype(U), first)) for k, seen in enumerate((n == 1, n == 2, n >= 3), 1)}
         store(path, f"level{level}-{shard}", arrays)
-        yield _record([-1], [None], [[*(int((a == k).sum()) for k in (1, 2, 3, 4)), len(a), int(a.sum()), int(raw.sum())]], [0])
+        yield _record([-1 - shard], [None], [[*(int((a == k).sum()) for k in (1, 2, 3, 4)), len(a), int(a.sum()), int(raw.sum())]], [0])
         if level > 1:
             for s, block in _blocks(columns[1:], [np.ones(len(a), U), raw], shards):
                 yield _record([s], [block], [None], [int(slot[s])])
@@ -217,6 +217,7 @@ class Model:
     order: int
     shards: int
     levels: tuple[tuple[int, ...], ...]  # per level from 1: n1, n2, n3, n4, distinct, sum of adjusted counts, tokens
+    keys: tuple[dict[int, int], ...]  # per level from 1: the keys of every shard that was written
 
     def discounts(self, level: int) -> np.ndarray:
         n1, n2, n3, n4 = self.levels[level - 1][:4]
@@ -233,7 +234,11 @@ class _Arrays:
 
     def get(self, level: int, shard: int) -> dict[str, np.ndarray]:
         if (x := self.open.get((level, shard))) is None:
-            x = self.open[level, shard] = mapped(self.model.path, f"level{level}-{shard}")
+            x = mapped(self.model.path, f"level{level}-{shard}")
+            have, wanted = len(x.get("key", ())), self.model.keys[level - 1].get(shard, 0)
+            if have != wanted:
+                raise FileNotFoundError(f"shard {shard} of level {level} of the model in {self.model.path} has {have} of its {wanted} keys")
+            self.open[level, shard] = x
         return x
 
     def find(self, keys: np.ndarray, level: int, index: str, values: list[str]) -> list[np.ndarray]:
@@ -278,15 +283,17 @@ def fit(docs: DataFrame, text: str = "text", order: int = 3, shards: int | None
         raise ValueError(f"shards is a power of two up to {1 << SHARD_BITS}")
     path = shared_dir(spark, "lm")
     blocks = texts.mapInArrow(_count_task(order, shards), BLOCKS)
-    levels = []
+    levels: list[tuple[int, ...]] = []
+    keys: list[dict[int, int]] = []
     for level in range(order, 0, -1):
         by_shard = blocks.where("shard >= 0").repartition(shards, "slot").sortWithinPartitions("shard")
         before, blocks = blocks, written(by_shard.mapInArrow(_level_task(path, level, level == order, shards), BLOCKS), f"lm-level{level}")
         if level < order:
             forget(before)
-        sums = blocks.where("shard < 0").agg(*(F.coalesce(F.sum(F.col("stats")[k]), F.lit(0)) for k in range(7))).first()
-        levels.append(tuple(int(x) for x in sums))
-    return Model(path, order, shards, tuple(levels[::-1]))
+        stats = blocks.where("shard < 0").select("shard", "stats").collect()  # seven numbers for each shard, 2^14 shards at most
+        levels.append(tuple(sum(r["stats"][k] for r in stats) for k in range(7)))
+        keys.append({-1 - r["shard"]: r["stats"][4] for r in stats})
+    return Model(path, order, shards, tuple(levels[::-1]), tuple(keys[::-1]))
 
 
 def _probabilities(arrays: _Arrays, seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -338,6 +345,6 @@ def _score_task(model: Model):
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Log10 probability and perplexity of every text; a map over the rows, without a shuffle."""
+    """Log10 probability and perplexity of every text; a map over the rows, without a shuffle. Ids are whole numbers."""
     small_batches(docs.sparkSession)
     return docs.select(F.col(quoted(doc_id)).cast("bigint").alias("doc_id"), F.col(quoted(text)).alias("text")).mapInArrow(_score_task(model), SCORES)

@@ -5,7 +5,8 @@ Targets. All sources together get `share` of all words. By weight, the level ris
 are a prefix, so one pass of running sums over the (few) sources gives the fixed point of the redistribution.
 Mix. A target is a whole number of repetitions of the source and a rest. The rest is drawn in the seeded order of hashed ids:
 documents are whole until the last one, which is taken in part, so a source meets its target to the word. Only word sums of
-BUCKETS hash ranges per source are ordered; documents are compared with each other inside the one range where the rest ends.
+BUCKETS hash ranges per source are ordered; documents are compared with each other inside the one range where the rest ends. Rows of one id and size, which may have
+different texts, are ordered by a hash of the whole row (maps aside), so reruns take the same words of the same rows.
 
 Defined cases: null texts have size 0; null is a source, the last one; a source of size 0 has target 0; equal rows are taken
 like others, which of them comes first does not show in the result; an empty table gives an empty result.
@@ -73,14 +74,15 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     made = {"size", "source_size", "target", "taken"}
     kept = [c for c in (columns or docs.columns) if c in docs.columns and c.lower() not in made]
     row = F.struct(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(kept))).alias("row") if kept else F.lit(None).alias("row")
-    wide = docs.select(row, F.col(quoted(source)).alias("_src"), n_words(quoted(text)).alias("size"), order_key(quoted(doc_id), seed))
+    whole = [F.col(quoted(c)) for c in kept if "map<" not in docs.schema[c].dataType.simpleString()]
+    wide = docs.select(row, F.xxhash64(*whole).alias("tie") if whole else F.lit(0).cast("bigint").alias("tie"), F.col(quoted(source)).alias("_src"), n_words(quoted(text)).alias("size"), order_key(quoted(doc_id), seed))
     # Without the texts the rows are small: sizes are counted once and written. With them, counting twice is cheaper than copying all texts.
     wide = wide if text in kept else written(wide, "mix-sizes")
     measured = wide.select(F.col("_src").alias("source"), "size", "h")
     goal = plan(measured, **how)
     df = wide.withColumn("bucket", _bucket()).join(goal, F.col("_src").eqNullSafe(F.col("_source")))
     inside = F.col("bucket") == F.col("cut")
-    here = Window.partitionBy("_src", "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
+    here = Window.partitionBy("_src", "bucket").orderBy("h", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
     left = F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(here), zero)
     part = df.where(inside).withColumn("extra", F.least("size", F.greatest(left, zero)))

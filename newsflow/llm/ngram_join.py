@@ -263,7 +263,7 @@ def _classes(docs: DataFrame, text: str, doc_id: str, n: int, threshold: float,
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """docs with one row of each class: that of the least id, and of texts under this id that of the least key. Ids may repeat and be null:
+    """docs with one row of each class: that of the least id (ids are whole numbers), and of texts under this id that of the least key. Ids may repeat and be null:
     different texts under one id are documents of their own; of rows with one id and one text any one stays."""
     mine, least = free_name("_id", docs.columns), free_name("_keep", docs.columns)
     key, kept_key = free_name("_key", docs.columns), free_name("_keep_key", docs.columns)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._session import written
+from ._session import quoted, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -43,8 +43,8 @@ def repeated_words(windows: str) -> Column:
 
 
 def counts(docs: DataFrame, text: str, doc_id: str, host: str) -> DataFrame:
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), t.alias("text"))
+    t = F.coalesce(F.col(quoted(text)), F.lit(""))
+    df = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(host)).alias("host"), t.alias("text"))
     long = lambda c: c.cast("bigint")
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
     df = df.select(

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ._session import shared_dir
+from ._session import quoted, shared_dir
 
 KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, docs bigint, tokens bigint"
@@ -31,12 +31,12 @@ SCHEMA = "source string, lang string, tokenizer string, docs bigint, tokens bigi
 
 def space_words(text: str) -> Column:
     """Tokenizer `space-1`: runs of anything but ASCII white space."""
-    return F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", -1), "")).cast("bigint")
+    return F.size(F.array_remove(F.split(F.coalesce(F.col(quoted(text)), F.lit("")), r"[\x20\x09-\x0D]+", -1), "")).cast("bigint")
 
 
 def alnum_words(text: str) -> Column:
     """Tokenizer `alnum-1`: runs of ASCII letters and digits and of characters outside ASCII."""
-    return F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1), "")).cast("bigint")
+    return F.size(F.array_remove(F.split(F.coalesce(F.col(quoted(text)), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1), "")).cast("bigint")
 
 
 def bpe_tokens(text: str, vocabulary: str) -> Column:
@@ -54,7 +54,7 @@ def bpe_tokens(text: str, vocabulary: str) -> Column:
             sizes += [len(x.ids) for x in t.encode_batch(texts.iloc[i : i + 64].tolist(), add_special_tokens=False)]
         return pd.Series(sizes, dtype="int64")
 
-    return count(F.coalesce(F.col(text), F.lit("")))
+    return count(F.coalesce(F.col(quoted(text)), F.lit("")))
 
 
 class Rollups:
@@ -144,7 +144,7 @@ class Rollups:
 
 
 def signed(docs: DataFrame, tokenizer: str, tokens: Column, sign: int, source: str = "source", lang: str = "lang") -> DataFrame:
-    return docs.select(F.col(source).alias("source"), F.col(lang).alias("lang"), F.lit(tokenizer).alias("tokenizer"), tokens.alias("tokens"), F.lit(sign).alias("sign"))
+    return docs.select(F.col(quoted(source)).alias("source"), F.col(quoted(lang)).alias("lang"), F.lit(tokenizer).alias("tokenizer"), tokens.alias("tokens"), F.lit(sign).alias("sign"))
 
 
 def revision(before: DataFrame, after: DataFrame) -> DataFrame:

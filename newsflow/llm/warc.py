@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._session import shared_dir
+from ._session import quoted, shared_dir
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -51,13 +51,13 @@ def _field(name: str, value: Column) -> Column:
 
 
 def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, date: str = DATE, path: str | None = None) -> Archive:
-    """A WARC record for every row of pages. The payload is UTF-8 of a string column, or a binary column as it is."""
+    """A WARC record for every row of pages. The payload is UTF-8 of a string column, or a binary column as it is. Page ids are whole numbers."""
     spark = pages.sparkSession
     path = path or shared_dir(spark, "warc")
     binary = dict(pages.dtypes)[payload] == "binary"
-    raw = F.coalesce(F.col(payload), F.lit(b"").cast("binary")) if binary else F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
-    target = F.replace(F.replace(F.coalesce(F.col(url), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), target.alias("url"), raw.alias("payload"))
+    raw = F.coalesce(F.col(quoted(payload)), F.lit(b"").cast("binary")) if binary else F.encode(F.coalesce(F.col(quoted(payload)), F.lit("")), "UTF-8")
+    target = F.replace(F.replace(F.coalesce(F.col(quoted(url)), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    rows = pages.select(F.col(quoted(page_id)).cast("bigint").alias("page_id"), target.alias("url"), raw.alias("payload"))
     rows = rows.withColumn("address", F.unhex(F.sha2("payload", 256)))
     rows.groupBy("address").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
     light = rows.select("page_id", "url", "address", base32_sha1(F.col("payload")).alias("sha1"), F.octet_length("payload").alias("n"))
