@@ -167,7 +167,7 @@ def quality_warnings(df: DataFrame) -> DataFrame:
     return df.agg(n(blank("summary")).alias("missing_summary"), n(blank("thumbnail") & blank("image_path")).alias("missing_image"), n(blank("url")).alias("missing_url"))
 
 
-def numbered(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], name: str = "pos", kind: str = "int") -> DataFrame:
     """Positions 1..n over all rows. Rows are dealt out by ranges of the order, sorted there and written to the shared folder; a row's position
     is its place there after the rows of the ranges before, of which there is one count each. No window spans all rows."""
     spark = df.sparkSession
@@ -178,7 +178,7 @@ def numbered(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame
     counts = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("_part", "_first", before.alias("_before"))
-    return rows.join(starts, "_part").select(*df.columns, (F.col("_before") + F.col("_place") - F.col("_first") + 1).cast("int").alias(name))
+    return rows.join(starts, "_part").select(*df.columns, (F.col("_before") + F.col("_place") - F.col("_first") + 1).cast(kind).alias(name))
 
 
 def move(df: DataFrame, article: int, step: int) -> DataFrame:
@@ -232,11 +232,11 @@ def images_of(df: DataFrame, images: DataFrame, slug: str = "slug", gram: int =
     return met.groupBy("id").agg(F.max_by("image_id", "mtime").alias("image_id"))
 
 
-def upsert(cms: DataFrame, rows: DataFrame, now: str) -> DataFrame:
+def upsert(cms: DataFrame, rows: DataFrame, now: str, place: bool = False) -> DataFrame:
     """CMS rows with a crawl merged by url: eight columns take new non-blank values, summaries only fill blanks; the rest is inserted as pending.
 
     Rows of a url after its first one update what the first inserted, so an insert has, per column, the last non-blank value.
-    Rows without a url are inserted each.
+    Rows without a url are inserted each. With `place`, `ord` says which row inserted a new one (null for old rows).
     """
     good = rows.where(~F.trim(F.coalesce("source", F.lit(""))).isin("Dân trí", "24h") & ~blank("title")).withColumn("url", F.trim(F.coalesce("url", F.lit(""))))
     take = ("source", "title", "published_at", "crawled_at", "thumbnail", "newspaper_type", "content_topic", "category")
@@ -244,14 +244,15 @@ def upsert(cms: DataFrame, rows: DataFrame, now: str) -> DataFrame:
     some = lambda c: F.when(~blank(c), F.col(c))
     last = lambda c: F.max_by(some(c), F.when(~blank(c), F.col("ord"))).alias(f"n_{c}")
     first = lambda c: F.min_by(some(c), F.when(~blank(c), F.col("ord"))).alias(f"n_{c}")
-    by_url = good.where("url <> ''").groupBy("url").agg(*(last(c) for c in take), *(first(c) for c in keep))
+    by_url = good.where("url <> ''").groupBy("url").agg(*(last(c) for c in take), *(first(c) for c in keep), F.min("ord").alias("ord"))
     merged = cms.join(by_url, "url", "left")
     old = merged.select(F.col("id"), "url", *(F.coalesce(f"n_{c}", c).alias(c) for c in take), *(F.when(blank(c), F.coalesce(f"n_{c}", c)).otherwise(F.col(c)).alias(c) for c in keep), "status",
-                        F.when(F.col("n_title").isNotNull(), F.lit(now)).otherwise(F.col("updated_at")).alias("updated_at"))
-    fresh = by_url.join(cms.select("url").where("url <> ''").distinct(), "url", "left_anti").select("url", *(F.coalesce(f"n_{c}", F.lit("")).alias(c) for c in take + keep))
-    loose = good.where("url = ''").select("url", *(F.coalesce(c, F.lit("")).alias(c) for c in take + keep))
-    new = fresh.union(loose).select(F.lit(None).cast("bigint").alias("id"), "url", *take, *keep, F.lit("pending").alias("status"), F.lit(now).alias("updated_at"))
-    return old.unionByName(new)
+                        F.when(F.col("n_title").isNotNull(), F.lit(now)).otherwise(F.col("updated_at")).alias("updated_at"), F.lit(None).cast("bigint").alias("ord"))
+    fresh = by_url.join(cms.select("url").where("url <> ''").distinct(), "url", "left_anti").select("url", *(F.coalesce(f"n_{c}", F.lit("")).alias(c) for c in take + keep), "ord")
+    loose = good.where("url = ''").select("url", *(F.coalesce(c, F.lit("")).alias(c) for c in take + keep), "ord")
+    new = fresh.union(loose).select(F.lit(None).cast("bigint").alias("id"), "url", *take, *keep, F.lit("pending").alias("status"), F.lit(now).alias("updated_at"), F.col("ord").cast("bigint").alias("ord"))
+    out = old.unionByName(new)
+    return out if place else out.drop("ord")
 
 
 #: What Python's strip() takes off ASCII texts, summary sources that a forced run replaces, the least summary.

@@ -1,3 +1,3 @@
 """The named queries; importing any module of this package fills the whole catalogue."""
 
-from . import catalog, exchange, workflow  # noqa: F401
+from . import catalog, exchange, stored, workflow  # noqa: F401
