@@ -9,6 +9,7 @@ from ..functions import topics
 from ..functions.publishing import card_filenames
 from ..functions.text import blank, filled, normalize
 from . import articles as ar
+from . import search_index as ix
 
 # Status groups in the order shown, labels of the cards, roots of media paths, a source for uploads.
 GROUPS = ("published", "pending", "rejected", "deleted", "other")
@@ -91,16 +92,6 @@ def backfill(df: DataFrame) -> DataFrame:
     })
 
 
-def _asks(needle: str, *texts: Column) -> Column:
-    """One of the folded texts holds the folded needle; of up to two characters as a whole word; an empty one is in any."""
-    n = F.col(needle)
-    inside = lambda t: F.when(F.length(n) <= 2, F.concat(F.lit(" "), t, F.lit(" ")).contains(F.concat(F.lit(" "), n, F.lit(" ")))).otherwise(t.contains(n))
-    out = inside(texts[0])
-    for t in texts[1:]:
-        out = out | inside(t)
-    return (n == "") | out
-
-
 def requests(intents: DataFrame) -> DataFrame:
     """The searches that answer an intent (type, source, topic, keyword), in order of preference: step, today, and the three wishes.
 
@@ -123,28 +114,37 @@ def requests(intents: DataFrame) -> DataFrame:
 def retrieve(df: DataFrame, intents: DataFrame, as_of: str, limit: int = 5, today_window: int = 100_000) -> DataFrame:
     """Up to `limit` articles for every intent: the columns of `intents` and pos, id.
 
-    Equal wishes are answered once. What they are compared with is bounded: the newest max(20 x limit, 250) public rows, and of the
-    newest `today_window` those of the day `as_of`.
+    Equal wishes are answered once, by an index of the rows that they look at: the newest max(20 x limit, 250) public ones, and of the
+    newest `today_window` those of the day `as_of`. A wish has up to three needs (source, topic, keyword), each is looked up
+    once for all wishes that have it; of the rows with all needs of a wish the newest `limit` stay.
     """
     wishes = requests(intents)
     shown = F.coalesce(filled("published_at"), filled("crawled_at"), filled("created_at"), filled("updated_at"), F.lit(""))
-    public, order = df.where(topics.is_public()), ar.recent_order()
-    fields = {c: normalize(c) for c in ("title", "summary", "source", "category", "content_topic")}
-    every = normalize(F.concat_ws(" ", "title", "summary", "source", "category", "content_topic"))
-    def window(n: int, today: bool) -> DataFrame:
-        rows = public.orderBy(*order).limit(n).withColumn("w", F.row_number().over(Window.orderBy(*order)))
-        rows = rows.where(shown.startswith(as_of)) if today else rows
-        return rows.select("id", "w", F.lit(today).alias("today"), *(v.alias(f"f_{c}") for c, v in fields.items()), every.alias("f_every"))
-    rows = window(max(20 * limit, 250), False).union(window(today_window, True))
-    asked = wishes.select("wish.*").distinct().withColumns({f"n_{c}": normalize(c) for c in ("source", "topic", "keyword")})
-    f = {c: F.col(f"f_{c}") for c in (*fields, "every")}
-    fits = _asks("n_source", f["source"]) & _asks("n_topic", f["content_topic"], f["category"], f["title"], f["summary"]) & _asks("n_keyword", f["every"])
-    met = asked.withColumnRenamed("today", "t").join(F.broadcast(rows), (F.col("t") == F.col("today")) & fits).groupBy("t", "source", "topic", "keyword")
-    best = met.agg(F.slice(F.array_sort(F.collect_list(F.struct("w", "id"))), 1, limit).alias("found")).select(F.struct(F.col("t").alias("today"), "source", "topic", "keyword").alias("wish"), "found")
-    answered = wishes.join(best, "wish")
+    newest = df.where(topics.is_public()).orderBy(*ar.recent_order()).limit(max(today_window, 20 * limit, 250))
+    ranked = ar.numbered(newest, ar.recent_order(), "w", "bigint")
+    near = F.col("w") <= max(20 * limit, 250)
+    rows = ranked.withColumn("now", shown.startswith(as_of) & (F.col("w") <= today_window)).withColumn("near", near).where("now OR near")
+    every = F.concat_ws(" ", "title", "summary", "source", "category", "content_topic")
+    groups = {"source": ix.folded("source"), "topic": ix.folded("content_topic", "category", "title", "summary"), "keyword": ix.folded("_every")}
+    index = ix.build(rows.withColumn("_every", every), groups)
+    places = rows.select("id", "w", "now", "near")
+    asked = wishes.select("wish.*").distinct()
+    needs = F.filter(F.array(*(F.struct(F.lit(c).alias("grp"), normalize(c).alias("needle")) for c in groups)), lambda x: x["needle"] != "")
+    asked = asked.withColumn("needs", needs)
+    single = asked.select("today", "source", "topic", "keyword", F.size("needs").alias("n"), F.explode("needs").alias("need")).select("*", "need.*").drop("need")
+    hits = single.join(ix.search(index, single.select("grp", "needle")), ["grp", "needle"])
+    all_needs = hits.groupBy("today", "source", "topic", "keyword", "id").agg(F.count("*").alias("k"), F.max("n").alias("n")).where("k = n")
+    fits = (F.col("today") & F.col("now")) | (~F.col("today") & F.col("near"))
+    key = ["today", "source", "topic", "keyword"]
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("w"))
+    some = all_needs.join(places, "id").where(fits).withColumn("place", rank).where(F.col("place") <= limit).select(*key, "w", "id")
+    first = lambda flag: places.where(flag).orderBy("w").limit(limit).select(F.lit(flag == "now").alias("today"), "w", "id")
+    any_ = asked.where(F.size("needs") == 0).select(*key).join(first("now").union(first("near")), "today").select(*key, "w", "id")
+    best = some.union(any_).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("w", "id"))).alias("found"))
+    answered = wishes.join(best.select(F.struct(*key).alias("wish"), "found"), "wish")
     keys = intents.columns
-    first = answered.groupBy(*keys).agg(F.min_by("found", "step").alias("found"))
-    return first.select(*keys, F.posexplode("found").alias("pos", "hit")).select(*keys, (F.col("pos") + 1).alias("pos"), "hit.id")
+    chosen = answered.groupBy(*keys).agg(F.min_by("found", "step").alias("found"))
+    return chosen.select(*keys, F.posexplode("found").alias("pos", "hit")).select(*keys, (F.col("pos") + 1).alias("pos"), "hit.id")
 
 
 def breaker(calls: DataFrame, run: str = "run", failures: int = 3) -> DataFrame:
