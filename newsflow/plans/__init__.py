@@ -1,3 +1,3 @@
 """The named queries; importing any module of this package fills the whole catalogue."""
 
-from . import catalog, exchange, pages, publication, search, stored, workflow  # noqa: F401
+from . import catalog, exchange, pages, publication, search, sites, stored, workflow  # noqa: F401
