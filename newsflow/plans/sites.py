@@ -8,6 +8,7 @@ from types import SimpleNamespace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import layout as lo
 from ..operators import extraction as ex
 from .catalog import query
 
@@ -90,3 +91,10 @@ t AS (SELECT *, list_filter([CASE WHEN id % 3 = 0 THEN summary END, title, more,
 SELECT id AS page_id, 'https://ptit.edu.vn/' || CASE WHEN id % 2 = 0 THEN 'og/' || id || '.jpg' ELSE 'logo.png' END AS detail_image, 'https://ptit.edu.vn/' || CASE WHEN id % 2 = 0 THEN 'og/' ELSE 'in/' END || id || '.jpg' AS card_image,
   coalesce(told[1], '') AS detail_summary, coalesce(meta[1], array_to_string(inner_[1:2], ' '), '') AS card_summary, CASE WHEN id % 4 IN (0, 1) THEN '2024-01-' || day || ' 07:30:00' ELSE '' END AS detail_published_at FROM t""")(
     lambda v: ex.page_details(article_pages(v)).select("page_id", "detail_image", "card_image", "detail_summary", "card_summary", "detail_published_at"))
+
+
+@query("card_text_fit")
+def card_text_fit(v: SimpleNamespace) -> DataFrame:
+    """Sizes and lines of the title and the summary on every article's card."""
+    fits = v.articles.select("id", lo.fit("title", lo.TITLE).alias("t"), lo.fit("summary", lo.SUMMARY).alias("s"))
+    return fits.select("id", F.col("t.size").alias("title_size"), F.array_join("t.lines", "\n").alias("title_lines"), F.col("s.size").alias("summary_size"), F.array_join("s.lines", "\n").alias("summary_lines"))
