@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -308,7 +308,7 @@ def _reaches(least: int, k: int, fine: int):
     return solved
 
 
-GROUPS = "group bigint, n_bytes bigint, open boolean, anchor bigint, context bigint, left bigint"
+GROUPS = "group bigint, n_bytes bigint, left_open boolean, right_open boolean, anchor bigint, context bigint, left bigint"
 
 
 def _own_anchors(text: bytes, least: int, k: int) -> set[int]:
@@ -329,8 +329,7 @@ def _groups(size: int, least: int, k: int):
             if left not in _own_anchors(text, size, k):
                 continue  # chosen by what surrounds the string: only at its own anchors all occurrences meet
             name = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "big", signed=True)
-            edge = left == least - k or right == least
-            rows += [(name, left + right, edge, a, c, left) for a, c in zip(anchor[members].tolist(), context[members].tolist(), strict=True)]
+            rows += [(name, left + right, left == least - k, right == least, a, c, left) for a, c in zip(anchor[members].tolist(), context[members].tolist(), strict=True)]
             if len(rows) >= 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names)
                 rows = []
@@ -512,12 +511,14 @@ def _spans(long: DataFrame, least: int, k: int, group: int, often: int, fine: in
 
 
 def maximal_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, k: int = K) -> DataFrame:
-    """The groups of the interval tree with all occurrences: one row per occurrence, (group, n_bytes, open, doc_id, first).
-
-    A group is a string of `least` bytes or more that occurs twice at least, and of which no longer string around the same anchor has
-    all occurrences (different bytes precede some, different bytes follow some). `group` is a hash of the string. Where it fills its
-    anchor's context of LEAST-K bytes before or LEAST from it, it is `open`: a longer repeat shows as overlapping open groups. Every
-    repeat of `least` bytes is part of a group; doc_id and first (bytes before it) are null and zero based as in the input.
+    """The maximal repeats with all occurrences: one row per occurrence, (group, n_bytes, open, doc_id, first).
+
+    A group is a string of `least` bytes or more that occurs twice at least, and of which no longer string has all occurrences (different bytes
+    precede some, different bytes follow some). `group` is a hash that stands for the string. The tree of one anchor sees LEAST-K bytes before it
+    and LEAST from it; of a longer string it gives a part. Parts of one string have the same occurrences but for a constant shift, and as
+    every LEAST-K bytes have an anchor they overlap: they are joined, whatever the length. Where a piece inside the string also occurs
+    elsewhere, its anchors have more occurrences, and the string may stay in parts around it. `open`: the group begins or ends where
+    a context does, so it may be such a part. doc_id and first (bytes before it) are null and zero based as in the input.
     Rows are in proportion to the occurrences listed. A task holds the different contexts of an anchor.
     """
     small_batches(docs.sparkSession)
@@ -528,10 +529,37 @@ def maximal_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     entries = entries.dropDuplicates(["k1", "k2", "pos", "anchor"]).join(contexts.select("k1", "k2", "pos", "anchor", "context", F.col("n").alias("copies")), ["k1", "k2", "pos", "anchor"])
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = entries.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_shard_task(_groups(least, least, k)), GROUPS)
-    placed = grouped.join(found, ["anchor", "context"]).select("group", "n_bytes", "open", "k1", "k2", (F.col("pos") - F.col("left")).alias("first"))
+    placed = grouped.join(found, ["anchor", "context"]).select("group", "n_bytes", "left_open", "right_open", "k1", "k2", (F.col("pos") - F.col("left")).alias("first"))
+    placed = placed.groupBy("group", "n_bytes", "k1", "k2", "first").agg(F.min("left_open").alias("left_open"), F.min("right_open").alias("right_open"))
+    placed = written(placed, "repeat-placed")
+    joined = placed.join(_joined_parts(placed), ["group", "n_bytes"]).drop("group", "n_bytes", "left_open", "right_open").withColumnsRenamed({"whole": "group", "size": "n_bytes"})
     ids = rows.select("k1", "k2", "doc_id").groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("rows"))
-    placed = placed.groupBy("group", "n_bytes", "k1", "k2", "first").agg(F.min("open").alias("open")).join(ids, ["k1", "k2"])
-    return placed.withColumn("row", F.explode(F.sequence(F.lit(1), "rows"))).select("group", "n_bytes", "open", "doc_id", "first")
+    out = joined.join(ids, ["k1", "k2"])
+    return out.withColumn("row", F.explode(F.sequence(F.lit(1), "rows"))).select("group", "n_bytes", "open", "doc_id", "first")
+
+
+def _joined_parts(placed: DataFrame) -> DataFrame:
+    """Of every maximal repeat its first part: group, n_bytes (of the part), whole, size, open (of the repeat).
+
+    Parts belong together if their occurrences do: as many, in the same texts, at a constant shift. Occurrences are compared by sums that do not depend
+    on their order or on the shift (hashes of the texts, and hashes times the distance from the first occurrence), so no list is collected.
+    Parts that overlap at the first occurrence are one string.
+    """
+    weight = {k: F.pmod(F.xxhash64("k1", "k2", F.lit(k)), F.lit(2**31)).cast("decimal(38,0)") for k in (1, 2)}
+    sums = [f(w).alias(f"{n}{k}") for k, w in weight.items() for n, f in (("h", F.sum), ("d", lambda w: F.sum(w * F.col("first"))))]
+    parts = placed.groupBy("group", "n_bytes").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first")).alias("o"), F.min("left_open").alias("left_open"), F.min("right_open").alias("right_open"), *sums)
+    parts = parts.select("group", "n_bytes", "n", "o.*", "left_open", "right_open", "h1", "h2", *((F.col(f"d{k}") - F.col(f"h{k}") * F.col("first")).alias(f"d{k}") for k in (1, 2)))
+    same = ["n", "k1", "k2", "h1", "h2", "d1", "d2"]
+    end = F.col("first") + F.col("n_bytes")
+    order = Window.partitionBy(*same).orderBy("first", F.desc("n_bytes"), "group")
+    reached = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(reached.isNull() | (F.col("first") > reached), 1).otherwise(0)
+    runs = parts.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = F.struct(end.alias("end"), (~F.col("right_open")).alias("closed"))
+    begins = F.struct("first", "left_open", -F.col("n_bytes"), "group", "n_bytes")
+    whole = runs.groupBy(*same, "run").agg(F.min(begins).alias("b"), F.max(ends).alias("e"), F.max(F.struct(end, "group"))["group"].alias("last"))
+    size = F.col("e.end") - F.col("b.first")
+    return whole.select("b.group", "b.n_bytes", F.xxhash64("b.group", "last", size).alias("whole"), size.alias("size"), (F.col("b.left_open") | ~F.col("e.closed")).alias("open"))
 
 
 def merge_spans(first: np.ndarray, last: np.ndarray, n: int) -> list[tuple[int, int]]:

@@ -101,7 +101,9 @@ def test_groups_are_the_maximal_repeats(spark):
         got[s].append((str(r.doc_id), r.first))
         is_open[s] = r.open
     for s in got:
-        assert sorted(got[s]) == sorted((str(docs[d][0]), p) for d, p in places[s]) or len(s) > 3 * least, s  # all occurrences, none twice
+        if len(s) > 3 * least:  # longer than what was counted above
+            places[s] = [(d, p) for d, b in enumerate(texts) for p in range(len(b)) if b.startswith(s, p)]
+        assert sorted(got[s]) == sorted((str(docs[d][0]), p) for d, p in places[s]), s  # all occurrences, none twice
         assert is_open[s] or s in want or len(s) >= 3 * least, s
     # What fits into the context of one of its anchors is found as it is.
     fits = [s for s in want if any(a <= least - k and len(s) - a <= least for a in D._own_anchors(s, least, k))]
@@ -130,3 +132,60 @@ def test_passages_of_short_words(spark, seed, words, group):
         want.append((i, [x for q, x in enumerate(w) if q not in gone]))
     got = D.deduplicate(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), passage=words, group=group, often=3)
     assert sorted(((r.doc_id, (r.text or "").split()) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def all_maximal_repeats(texts, least):
+    """String -> occurrences, of all lengths, from a plain suffix array of all texts."""
+    places = sorted(((d, p) for d, b in enumerate(texts) for p in range(len(b) - least + 1)), key=lambda x: texts[x[0]][x[1] :])
+
+    def common(x, y):
+        a, b = texts[x[0]][x[1] :], texts[y[0]][y[1] :]
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        return n
+
+    lcp = [0, *(common(x, y) for x, y in zip(places, places[1:], strict=False))]
+    out = {}
+    for depth, lo, hi in D.lcp_intervals(lcp):
+        if depth >= least:
+            at = places[lo : hi + 1]
+            if len({texts[d][p - 1] if p else f"start{d}" for d, p in at}) > 1:
+                out[texts[at[0][0]][at[0][1] : at[0][1] + depth]] = sorted(at)
+    return out
+
+
+@pytest.mark.parametrize("nested", [False, True])
+def test_groups_of_any_length(spark, nested):
+    rng = random.Random(1)
+    least, k = 40, 8
+    rnd = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    long, other, period = rnd(700), rnd(230), "ab" * 120
+    docs = [(0, rnd(30) + long + rnd(20)), (1, rnd(50) + long + rnd(90)), (2, long[100:400] + rnd(40)), (3, other), (4, rnd(20) + other + "x" + other), (5, period), (6, "q" + period + rnd(10)), (7, rnd(60)), (8, long), (9, None), (10, rnd(15) + other[:60])]
+    docs = docs if nested else [(i, t) for i, t in docs if i not in (2, 10)]
+    texts = [(t or "").encode() for _, t in docs]
+    by_id = {i: b for (i, _), b in zip(docs, texts, strict=True)}
+    got, is_open = collections.defaultdict(list), {}
+    for r in D.maximal_repeats(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), least=least, k=k).collect():
+        s = by_id[r.doc_id][r.first : r.first + r.n_bytes]
+        got[s].append(([i for i, _ in docs].index(r.doc_id), r.first))
+        is_open[s] = r.open
+    want = all_maximal_repeats(texts, least)
+    plain = lambda s: b"abababab" not in s
+    if nested:  # a part of the long string occurs elsewhere too: around it the long one stays in parts, which say that they are open
+        assert all(is_open[s] for s in got if plain(s) and s not in want) and all(sorted(got[s]) == want[s] for s in got if s in want)
+    else:
+        assert {s: sorted(at) for s, at in got.items() if plain(s)} == {s: at for s, at in want.items() if plain(s)}
+        assert sorted(got[long.encode()]) == want[long.encode()] and len(want[long.encode()]) == 3
+    # In a long period every length repeats; what is found there covers the same bytes.
+    cover = [bytearray(len(b)) for b in texts]
+    for s, at in got.items():
+        for d, p in at:
+            cover[d][p : p + len(s)] = b"\1" * len(s)
+    assert cover == covered(texts, least)
+
+
+def test_one_group_for_a_string_of_2399_bytes(spark):
+    s = "".join(random.Random(9).choices("abcdefghijklmnopqrstuvwxyz ", k=2399))
+    rows = D.maximal_repeats(spark.createDataFrame([(1, "x" + s + "y"), (2, s + "z")], "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.first, r.n_bytes) for r in rows) == [(1, 1, 2399), (2, 0, 2399)] and len({r.group for r in rows}) == 1
