@@ -7,8 +7,10 @@ from types import SimpleNamespace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import articles as ar
+from ..operators import rank_index as ri
 from ..sources.stored import Stored, last_wins, upsert_articles
-from .catalog import _TAKE, query
+from .catalog import _TAKE, _order, _page_sql, query
 
 TIMES = ("2024-02-10 10:00:00", "2024-02-11 10:00:00", "2024-02-12 10:00:00")
 KEEP = ("summary", "summary_source")
@@ -71,3 +73,25 @@ def stored_notifications(v: SimpleNamespace) -> DataFrame:
     store.commit("run-1", result(v.articles.where("status = 'approved'"), F.lit("chat-1"), "sent"), last_wins(keys, "created_at"))
     store.commit("run-2", result(v.articles.where("id % 7 = 0"), F.when(F.col("id") % 14 == 0, "chat-2").otherwise("chat-1"), "failed"), last_wins(keys, "created_at"))
     return store.read()
+
+
+def _ranked(v: SimpleNamespace) -> ri.Ranked:
+    return ri.build(v.articles.where("status = 'approved'"), ar.business_order())
+
+
+query("rank_index_page", _page_sql("approved", offset=24))(lambda v: _ranked(v).page(3).select("pos", "id", "title", "status"))
+query("rank_index_ranks", f"SELECT id, row_number() OVER (ORDER BY {_order('approved')}) AS rank FROM articles_v WHERE status = 'approved'")(lambda v: _ranked(v).rows("rank").select("id", "rank"))
+
+
+@query("rank_index_moves", f"""WITH r AS (SELECT id, row_number() OVER (ORDER BY {_order('approved')}) AS k FROM articles_v WHERE status = 'approved'), a AS (SELECT k FROM r WHERE id = 101), n AS (SELECT count(*) AS n FROM r)
+SELECT id, CASE WHEN r.k = a.k THEN r.k - 2 WHEN r.k = a.k - 1 THEN r.k + 1 WHEN r.k = a.k - 2 THEN r.k + 1 WHEN r.k = n - 1 THEN n WHEN r.k = n THEN n - 1 ELSE r.k END AS client_order FROM r, a, n""")
+def rank_index_moves(v: SimpleNamespace) -> DataFrame:
+    """An article moved up twice, the last but one moved down, and the last that cannot move further."""
+    index = _ranked(v)
+    index.move(101, -1)
+    index.move(101, -1)
+    last = index.page(index.total, 1).first()["id"]
+    index.move(index.page(index.total - 1, 1).first()["id"], 1)
+    index.move(last, -1)
+    index.move(last, 1)
+    return index.rows("client_order").select("id", "client_order")

@@ -18,12 +18,11 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..shared import scratch
+from ..shared import create_once, scratch
 
 BUCKETS = 64
 TRIES = 5
@@ -61,21 +60,8 @@ class Stored:
         return sorted(n for n in (s.getPath().getName() for s in files.listStatus(self._at(""))) if n.startswith(start)) if files.exists(self._at("")) else []
 
     def _publish(self, v: Version) -> bool:
-        """Makes the version, unless it exists: written under another name first, then renamed."""
-        files, begun = self._files(), self._at(f"_{uuid.uuid4().hex}")
-        stream = files.create(begun, False)
-        stream.write(bytearray(json.dumps(v.__dict__).encode()))
-        stream.close()
-        context = self._hadoop.FileContext.getFileContext(begun.toUri(), self.spark._jsparkSession.sessionState().newHadoopConf())
-        none = self.spark._sc._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        try:
-            context.rename(begun, self._at(f"version-{v.number:09d}"), none)
-        except Py4JJavaError as e:
-            files.delete(begun, False)
-            if "FileAlreadyExists" in e.java_exception.getClass().getName():
-                return False
-            raise
-        return True
+        """Makes the version, unless it exists."""
+        return create_once(self.spark, self.path, f"version-{v.number:09d}", json.dumps(v.__dict__))
 
     def version(self, number: int | None = None) -> Version:
         """The manifest of a version, by default the last."""
