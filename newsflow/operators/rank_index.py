@@ -102,12 +102,12 @@ class Ranked:
                 return i, i + step
 
     def rows(self, name: str = "pos") -> DataFrame:
-        """All rows with their positions."""
+        """All rows with their positions, in place of a column of that name."""
         starts = self.spark.createDataFrame([(p, b) for p, b, _ in self.starts], "_part int, _before bigint")
         moved = self.spark.createDataFrame([(at, p) for p, at in self._moves().items()], "_at bigint, _shown bigint")
         rows = self.spark.read.schema(StructType(list(self.schema.fields)).add("_place", "long").add("_part", "integer")).parquet(f"{self.path}/rows")
         rows = rows.join(starts, "_part").withColumn("_at", F.col("_before") + F.col("_place") + 1).join(moved, "_at", "left")
-        return rows.select(*self.schema.names, F.coalesce("_shown", "_at").alias(name))
+        return rows.select(*(c for c in self.schema.names if c != name), F.coalesce("_shown", "_at").alias(name))
 
 
 def _bucket(ident: Column) -> Column:
