@@ -14,6 +14,8 @@ from .catalog import _TAKE, _order, _page_sql, query
 
 TIMES = ("2024-02-10 10:00:00", "2024-02-11 10:00:00", "2024-02-12 10:00:00")
 KEEP = ("summary", "summary_source")
+#: Few, as the tables of the queries are small: a batch writes a file for each bucket it touches.
+BUCKETS = 8
 ARTICLE = ("id", "url", *_TAKE, *KEEP, "status", "updated_at")
 
 _AT = "b * 1000000000000 + ord"
@@ -37,7 +39,7 @@ UNION ALL SELECT (SELECT max(id) FROM articles_v) + row_number() OVER (ORDER BY
 def stored_upsert(v: SimpleNamespace) -> DataFrame:
     """Three crawls and a replay of the second into the stored article table."""
     store = Stored(v.spark)
-    store.create(v.articles.withColumn("url", F.when(F.col("id") % 3 == 0, "").otherwise(F.col("url"))).select(*ARTICLE), ["url"], ident="id")
+    store.create(v.articles.withColumn("url", F.when(F.col("id") % 3 == 0, "").otherwise(F.col("url"))).select(*ARTICLE), ["url"], BUCKETS, "id")
     crawls = _crawls(v)
     for b in (0, 1, 2, 1):
         upsert_articles(store, f"crawl-{b}", crawls.where(F.col("b") == b).drop("b"), TIMES[b])
@@ -50,7 +52,7 @@ SELECT CASE WHEN ord % 5 < 2 THEN 1 WHEN ord % 5 < 4 THEN 2 ELSE 3 END, 'pending
 def stored_versions(v: SimpleNamespace) -> DataFrame:
     """Older versions stay readable: the table after none, one and two crawls that add only articles without a url (all others are known)."""
     store = Stored(v.spark)
-    store.create(v.articles.select(*ARTICLE), ["url"], ident="id")
+    store.create(v.articles.select(*ARTICLE), ["url"], BUCKETS, "id")
     crawls = _crawls(v)
     for b in (0, 1):
         upsert_articles(store, f"crawl-{b}", crawls.where(F.col("b") == b).drop("b"), TIMES[b])
@@ -68,7 +70,7 @@ def stored_notifications(v: SimpleNamespace) -> DataFrame:
     """The send log, one row for each article, platform and target, after two runs: a later result replaces an earlier one."""
     keys = ["article_id", "platform", "target_id"]
     store = Stored(v.spark)
-    store.create(v.notification_logs.select(*keys, "status", "created_at"), keys)
+    store.create(v.notification_logs.select(*keys, "status", "created_at"), keys, BUCKETS)
     result = lambda rows, chat, status: rows.select(F.col("id").alias("article_id"), F.lit("telegram").alias("platform"), chat.alias("target_id"), F.lit(status).alias("status"), F.col("updated_at").alias("created_at"))
     store.commit("run-1", result(v.articles.where("status = 'approved'"), F.lit("chat-1"), "sent"), last_wins(keys, "created_at"))
     store.commit("run-2", result(v.articles.where("id % 7 = 0"), F.when(F.col("id") % 14 == 0, "chat-2").otherwise("chat-1"), "failed"), last_wins(keys, "created_at"))

@@ -131,7 +131,10 @@ class Stored:
         """
         if not re.fullmatch(r"[\w.-]+", batch):
             raise ValueError("a batch name has letters, digits, '_', '.' and '-' only")
-        mark = rows.agg(F.count("*"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first()
+        rows.write.parquet(path := f"{self.path}/_batch-{uuid.uuid4().hex}")  # read several times below
+        rows = self.spark.read.schema(rows.schema).parquet(path)
+        has_key = self._has_key(self.version().keys)
+        mark = rows.agg(F.count("*"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")), F.count_if(~has_key)).first()
         digest = f"{mark[0]}:{mark[1] or 0}"
         for _ in range(TRIES):
             v = self.version()
@@ -139,10 +142,12 @@ class Stored:
                 if v.batches[batch] != digest:
                     raise ValueError(f"batch {batch} was committed with other rows")
                 return None
-            keyed, loose = rows.where(self._has_key(v.keys)), rows.where(~self._has_key(v.keys))
+            keyed, loose = rows.where(has_key), rows.where(~has_key)
             touched = sorted(r[0] for r in keyed.select(self._bucket(v.keys, v.n_buckets)).distinct().collect())  # bucket numbers
             old = self._read(v.schema, [v.buckets[str(b)] for b in touched if str(b) in v.buckets])
-            merged = merge(old, keyed).unionByName(merge(self._read(v.schema, []), loose))
+            merged = merge(old, keyed)
+            if mark[2]:
+                merged = merged.unionByName(merge(self._read(v.schema, []), loose))
             columns = [f.name for f in StructType.fromJson(json.loads(v.schema))]
             added = 0
             if ident and place:
