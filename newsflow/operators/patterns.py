@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ _held: tuple = (None, None)
 
 
 def _automaton(path: str, block: int, size: int):
-    """The automaton of a block, whose values are lists of (needle, grp, rank, label); a worker holds the last one."""
+    """The automaton of a block, whose values are a needle, its length and its rules (grp, rank, label); a worker holds the last one."""
     global _held
     if _held[0] != (path, block):
         import ahocorasick
@@ -62,37 +63,44 @@ def _automaton(path: str, block: int, size: int):
             raise OSError(f"{path}: block {block} has {len(rows)} of {size} patterns")
         made = ahocorasick.Automaton()
         for r in rows:
-            if r["needle"] in made:
-                made.get(r["needle"]).append((r["needle"], r["grp"], r["rank"], r["label"]))
+            needle, rule = r["needle"], (r["grp"], r["rank"], r["label"])
+            if needle in made:
+                made.get(needle)[2].append(rule)
             else:
-                made.add_word(r["needle"], [(r["needle"], r["grp"], r["rank"], r["label"])])
+                made.add_word(needle, (needle, len(needle), [rule]))
         made.make_automaton()
         _held = ((path, block), made)
     return _held[1]
 
 
-def _found(automaton, text: str) -> Iterator[tuple[str, int, int]]:
-    """needle, n, first of the needles in a text."""
+def _found(automaton, text: str, out: list[list]) -> int:
+    """Puts needle, n, first of the needles in a text to the columns of `out`; how many there are."""
     seen: dict[str, list[int]] = {}
-    for last, rules in automaton.iter(text):
-        needle = rules[0][0]
-        start = last - len(needle) + 1
-        held = seen.get(needle)
+    held_of = seen.get
+    for last, (needle, size, _) in automaton.iter(text):
+        held = held_of(needle)
         if held is None:
-            seen[needle] = [1, start + 1, last]
-        elif start > held[2]:
-            held[0], held[2] = held[0] + 1, last
-    return ((needle, n, first) for needle, (n, first, _) in seen.items())
-
-
-def _labels(automaton, text: str) -> Iterator[tuple[str | None, int | None, str | None]]:
-    """grp, rank, label: the least of each group in a text; a row of nulls for a text without any."""
+            seen[needle] = [1, last - size + 2, last]
+        elif last - size >= held[2]:
+            held[0] += 1
+            held[2] = last
+    out[0].extend(seen)
+    out[1].extend([h[0] for h in seen.values()])
+    out[2].extend([h[1] for h in seen.values()])
+    return len(seen)
+
+
+def _labels(automaton, text: str, out: list[list]) -> int:
+    """Puts grp, rank, label of the least rule of each group to the columns of `out`; nulls for a text without any."""
     least: dict[str, tuple] = {}
-    for _, rules in automaton.iter(text):
-        for _, grp, rank, label in rules:
+    for _, (_, _, rules) in automaton.iter(text):
+        for grp, rank, label in rules:
             if grp not in least or (rank, label) < least[grp]:
                 least[grp] = (rank, label)
-    return ((g, *r) for g, r in least.items()) if least else iter([(None, None, None)])
+    for row in [(g, *r) for g, r in least.items()] or [(None, None, None)]:
+        for column, value in zip(out, row, strict=True):
+            column.append(value)
+    return len(least) or 1
 
 
 def _scan(p: Patterns, texts: DataFrame, keys: list[str], text: Column | str, per_text: Callable, columns: str) -> DataFrame:
@@ -116,13 +124,11 @@ def _scan(p: Patterns, texts: DataFrame, keys: list[str], text: Column | str, pe
             for whole in batches:
                 for start in range(0, whole.num_rows, ROWS):
                     batch = whole.slice(start, ROWS)
-                    at, found = [], []
-                    for i, t in enumerate(batch.column(len(keys)).to_pylist()):
-                        for row in per_text(automaton, t):
-                            at.append(i)
-                            found.append(row)
-                    given = [batch.column(k).take(pa.array(at, pa.int32())) for k in range(len(keys))]
-                    yield pa.RecordBatch.from_arrays([*given, *(pa.array([r[j] for r in found], kind) for j, kind in enumerate(kinds))], names=schema.names)
+                    out: list[list] = [[] for _ in kinds]
+                    counts = [per_text(automaton, t, out) for t in batch.column(len(keys)).to_pylist()]
+                    at = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+                    given = [batch.column(k).take(pa.array(at)) for k in range(len(keys))]
+                    yield pa.RecordBatch.from_arrays([*given, *map(pa.array, out, kinds)], names=schema.names)
 
         return scan
 
