@@ -1,24 +1,35 @@
 """A stored index of short character sequences (grams) for searches inside texts.
 
-Postings: for each gram, group of fields and block of rows, the ids that have it, sorted; they lie in hashed buckets of grams, sorted by gram, so
-a search reads the buckets of its grams. A common gram has many short lists, not a long one, and lists meet block by block.
+Postings: for each gram, group of fields and block of rows, the ids that have it; they lie in hashed buckets of grams, sorted by gram, so
+a search reads the buckets of its grams. A common gram has many short lists, not a long one, and lists meet block by block. A block is a run of rows
+as a task reads them, so lists are made where the texts are and nothing is shuffled.
 A search takes its rarest grams (RAREST at most), intersects their lists, and looks at the texts of the rows that are left: the
-grams say where to look, the text decides. A needle without a gram is compared with every text.
+grams say where to look, the text decides. A needle without a gram is compared with every text. Needles that would together read more than
+LISTS ids for each row of the table are looked for the other way round: they become automata (see `patterns`) that the stored texts stream past.
 
 Ids are unique. Texts of a group are folded once, when the index is built.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import LOWER, UPPER, ascii_lower, normalize
 from ..shared import scratch
+from . import patterns
 
-BUCKETS, BLOCK, RAREST = 32, 4096, 3
+BUCKETS, BLOCK, RAREST = 16, 4096, 3
+#: Characters of a block; a longer text is a block of its own.
+BLOCK_CHARS = 1 << 21
+LISTS = 8
 GRAMS = (3,)
 
 
@@ -51,28 +62,33 @@ class Index:
     path: str
     sizes: tuple[int, ...]
     kind: str  # of the ids
+    groups: tuple[str, ...]
 
     def _table(self, name: str) -> DataFrame:
-        schema = {"texts": f"id {self.kind}, grp string, text string", "postings": f"grp string, gram string, block bigint, ids array<{self.kind}>, bucket int", "counts": "grp string, gram string, n bigint"}
+        schema = {"texts": f"id {self.kind}, grp string, text string", "postings": f"{self._lists}, bucket int", "counts": "grp string, gram string, n bigint"}
         return self.spark.read.schema(schema[name]).parquet(f"{self.path}/{name}")
 
+    @property
+    def _lists(self) -> str:
+        return f"grp string, gram string, block bigint, ids array<{self.kind}>"
+
     def texts(self) -> DataFrame:
         """id, grp, text of all rows."""
         return self._table("texts")
 
     def grams_of(self, needles: DataFrame) -> DataFrame:
-        """needles (grp, needle, parts: literal pieces of the needle) with the grams to look up and how many they are."""
+        """needles (grp, needle, parts: literal pieces of the needle) with the grams to look up, how many they are, and the rows that have each."""
         longest = F.lit(None).cast("array<string>")
         for size in sorted(self.sizes):
             longest = F.when(F.length("part") >= size, _pieces(F.col("part"), size)).otherwise(longest)
         grams = needles.select("grp", "needle", F.explode("parts").alias("part")).select("grp", "needle", F.explode(longest).alias("gram")).distinct()
         rare = Window.partitionBy("grp", "needle").orderBy(F.coalesce("n", F.lit(0)), "gram")
         counted = grams.join(self._table("counts"), ["grp", "gram"], "left").withColumn("_k", F.row_number().over(rare)).where(F.col("_k") <= RAREST)
-        return counted.withColumn("wanted", F.count("*").over(Window.partitionBy("grp", "needle"))).select("grp", "needle", "gram", "wanted")
+        return counted.withColumn("wanted", F.count("*").over(Window.partitionBy("grp", "needle"))).select("grp", "needle", "gram", "wanted", F.coalesce("n", F.lit(0)).alias("n"))
 
     def candidates(self, needles: DataFrame) -> DataFrame:
         """(grp, needle, id) of the rows that have all the grams looked up; every row for needles without a gram."""
-        asked = self.grams_of(needles)
+        asked = self.grams_of(needles).drop("n")
         met = asked.withColumn("bucket", _bucket("gram")).join(self._table("postings"), ["bucket", "grp", "gram"])
         lists = met.groupBy("grp", "needle", "block").agg(F.max("wanted").alias("wanted"), F.collect_list("ids").alias("lists")).where(F.size("lists") == F.col("wanted"))
         both = F.aggregate(F.slice("lists", 2, F.size("lists")), F.element_at("lists", 1), lambda a, b: F.array_intersect(a, b))
@@ -84,19 +100,77 @@ class Index:
         """(grp, needle, id) where `holds`, of the columns needle and text, is true."""
         return self.candidates(needles).join(self.texts(), ["grp", "id"]).where(holds).select("grp", "needle", "id")
 
+    def are_many(self, needles: DataFrame) -> bool:
+        """Whether the needles would read more than LISTS ids for each row."""
+        return (self.grams_of(needles).agg(F.sum("n")).first()[0] or 0) > LISTS * self.texts().count()
+
+    def streamed(self, needles: DataFrame) -> DataFrame:
+        """(grp, needle, id) of the texts that hold the only piece of a needle: texts stream past the needles."""
+
+        def of(grp: str) -> DataFrame:
+            pieces = needles.where(F.col("grp") == grp).select(F.element_at("parts", 1).alias("needle"))
+            found = patterns.occurrences(patterns.build(pieces), self.texts().where(F.col("grp") == grp), ["id"], "text")
+            return found.select(F.lit(grp).alias("grp"), F.trim("needle").alias("needle"), "id")
+
+        return reduce(DataFrame.unionByName, map(of, self.groups))
+
+
+def _lists_of(size: int, grp: str, block: int, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
+    """The lists of one block: each run of `size` characters inside a text with the ids of its texts, each once."""
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    row, end = np.repeat(np.arange(len(texts)), lengths), np.repeat(np.cumsum(lengths), lengths)
+    starts = np.flatnonzero(np.arange(len(chars)) + size <= end)
+    code = np.zeros(len(starts), dtype=np.int64)
+    for k in range(size):  # a character has 21 bits
+        code = code << 21 | chars[starts + k]
+    grams, gram = np.unique(code, return_inverse=True)
+    pairs = np.unique(gram * len(texts) + row[starts])
+    bounds = np.searchsorted(pairs, np.arange(len(grams) + 1) * len(texts))
+    parts = [grams >> 21 * k & (1 << 21) - 1 for k in range(size - 1, -1, -1)]
+    joined = np.stack(parts, axis=1).astype(np.uint32).tobytes().decode("utf-32-le")
+    names = [joined[i : i + size] for i in range(0, len(joined), size)]
+    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), ids.take(pa.array(pairs % max(1, len(texts)))))
+    columns = [pa.array([grp] * len(names), pa.string()), pa.array(names, pa.string()), pa.array([block] * len(names), pa.int64()), lists]
+    return pa.RecordBatch.from_arrays(columns, names=["grp", "gram", "block", "ids"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int, chars: int) -> Iterator[tuple[str, pa.Array, list[str]]]:
+    """grp, ids and texts of runs of rows of a group (grp, id, text; no nulls), of so many rows and characters at most."""
+    held: dict[str, tuple[list, list[str]]] = {}
+    sizes: dict[str, int] = {}
+    kind = None
+    for whole in batches:
+        kind = whole.column(1).type
+        for start in range(0, whole.num_rows, 500):
+            for grp, ident, text in zip(*(c.to_pylist() for c in whole.slice(start, 500).columns), strict=True):
+                ids, texts = held.setdefault(grp, ([], []))
+                if ids and (len(ids) >= rows or sizes[grp] + len(text) > chars):
+                    yield grp, pa.array(ids, kind), texts
+                    ids, texts = held[grp] = ([], [])
+                ids.append(ident)
+                texts.append(text)
+                sizes[grp] = len(text) + (sizes[grp] if len(ids) > 1 else 0)
+    for grp, (ids, texts) in held.items():
+        yield grp, pa.array(ids, kind), texts
+
 
 def build(rows: DataFrame, groups: dict[str, Column], ident: str = "id", sizes: tuple[int, ...] = GRAMS) -> Index:
     """The index of a table: for each group the text that searches of it look at."""
     spark, path = rows.sparkSession, scratch(rows.sparkSession, "search")
     pairs = F.array(*(F.struct(F.lit(g).alias("grp"), text.alias("text")) for g, text in groups.items()))
     rows.select(F.col(ident).alias("id"), F.explode(pairs).alias("x")).select("id", "x.grp", "x.text").write.parquet(f"{path}/texts")
-    index = Index(spark, path, sizes, rows.schema[ident].dataType.simpleString())
-    texts = index.texts()
-    blocks = rows.count() // BLOCK + 1
-    every = F.flatten(F.array(*(_pieces(F.col("text"), n) for n in sizes)))
-    grams = texts.select("grp", "id", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.explode(F.array_distinct(every)).alias("gram"))
-    lists = grams.groupBy("grp", "gram", "block").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("bucket", _bucket("gram"))
-    lists.repartition("bucket", "block").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{path}/postings")
+    index = Index(spark, path, sizes, rows.schema[ident].dataType.simpleString(), tuple(groups))
+    most, chars = BLOCK, BLOCK_CHARS
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for n, (grp, ids, texts) in enumerate(_blocks(batches, most, chars)):
+            for size in sizes:
+                yield _lists_of(size, grp, first + n, ids, texts)
+
+    made = index.texts().where(F.col("text").isNotNull()).select("grp", "id", "text").mapInArrow(lists, index._lists)
+    made.withColumn("bucket", _bucket("gram")).sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{path}/postings")
     index._table("postings").groupBy("grp", "gram").agg(F.sum(F.size("ids")).alias("n")).write.parquet(f"{path}/counts")
     return index
 
@@ -113,7 +187,8 @@ def holds_folded() -> Column:
 
 def search(index: Index, needles: DataFrame) -> DataFrame:
     """needles: grp, needle (folded, not empty). The rows that hold each: grp, needle, id."""
-    return index.find(needles.select("grp", "needle").where("needle <> ''").distinct().withColumn("parts", folded_parts()), holds_folded())
+    asked = needles.select("grp", "needle").where("needle <> ''").distinct().withColumn("parts", folded_parts())
+    return index.streamed(asked) if index.are_many(asked) else index.find(asked, holds_folded())
 
 
 def search_like(index: Index, grp: str, pattern: str) -> DataFrame:

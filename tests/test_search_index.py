@@ -47,3 +47,14 @@ def test_a_search_reads_the_buckets_of_its_grams(spark, rows):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert "dynamicpruning" in plan.lower() or "bucket" in plan
     assert ix.build(rows.limit(0), {"one": ix.folded("title")}).texts().count() == 0
+
+
+def test_many_needles_read_no_lists(spark, rows, monkeypatch):
+    index = ix.build(rows, {"both": ix.folded("title", "summary"), "one": ix.folded("title")})
+    asked = spark.createDataFrame([(g, n) for g in ("both", "one") for n in ("giao duc", "a", "ab", "dao tao", "o t", "needle", "zzz", "uc d")], "grp string, needle string")
+    found = lambda rows: sorted((r.grp, r.needle, r.id) for r in rows.collect())
+    want = found(ix.search(index, asked))
+    monkeypatch.setattr(ix, "LISTS", 0)
+    got = ix.search(index, asked)
+    assert found(got) == want and want
+    assert "postings" not in got._jdf.queryExecution().toString()
