@@ -119,18 +119,32 @@ def _lists_of(size: int, grp: str, block: int, ids: pa.Array, texts: list[str])
     """The lists of one block: each run of `size` characters inside a text with the ids of its texts, each once."""
     chars = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    row, end = np.repeat(np.arange(len(texts)), lengths), np.repeat(np.cumsum(lengths), lengths)
+    row, end = np.repeat(np.arange(len(texts), dtype=np.uint64), lengths), np.repeat(np.cumsum(lengths), lengths)
     starts = np.flatnonzero(np.arange(len(chars)) + size <= end)
-    code = np.zeros(len(starts), dtype=np.int64)
-    for k in range(size):  # a character has 21 bits
-        code = code << 21 | chars[starts + k]
-    grams, gram = np.unique(code, return_inverse=True)
-    pairs = np.unique(gram * len(texts) + row[starts])
-    bounds = np.searchsorted(pairs, np.arange(len(grams) + 1) * len(texts))
-    parts = [grams >> 21 * k & (1 << 21) - 1 for k in range(size - 1, -1, -1)]
-    joined = np.stack(parts, axis=1).astype(np.uint32).tobytes().decode("utf-32-le")
+    row = row[starts]
+    seen = np.zeros(0x110000, dtype=bool)
+    seen[chars] = True
+    letters, number = np.flatnonzero(seen), np.cumsum(seen, dtype=np.uint64) - np.uint64(1)
+    if max(1, len(letters)) ** size * len(texts) < 1 << 64:  # gram and row are one number
+        key, most = np.zeros(len(starts), dtype=np.uint64), np.uint64(len(letters))
+        for k in range(size):
+            key = key * most + number[chars[starts + k]]
+        key = np.sort(key * np.uint64(len(texts)) + row)
+        key = key[np.flatnonzero(np.diff(key, prepend=key[:1] + np.uint64(1)))]
+        code, row = np.divmod(key, np.uint64(len(texts)))
+        first = np.flatnonzero(np.diff(code, prepend=code[:1] + np.uint64(1)))
+        code, parts = code[first], []
+        for _ in range(size):
+            code, last = np.divmod(code, most)
+            parts.insert(0, letters[last])
+        grams = np.stack(parts, axis=1)
+    else:
+        pairs = np.unique(np.stack([*(chars[starts + k] for k in range(size)), row], axis=1), axis=0)
+        first = np.flatnonzero(np.diff(pairs[:, :size], axis=0, prepend=pairs[:1, :size] + 1).any(axis=1))
+        grams, row = pairs[first, :size], pairs[:, size]
+    joined = grams.astype(np.uint32).tobytes().decode("utf-32-le")
     names = [joined[i : i + size] for i in range(0, len(joined), size)]
-    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), ids.take(pa.array(pairs % max(1, len(texts)))))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), ids.take(pa.array(row)))
     columns = [pa.array([grp] * len(names), pa.string()), pa.array(names, pa.string()), pa.array([block] * len(names), pa.int64()), lists]
     return pa.RecordBatch.from_arrays(columns, names=["grp", "gram", "block", "ids"])
 

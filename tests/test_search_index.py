@@ -58,3 +58,27 @@ def test_many_needles_read_no_lists(spark, rows, monkeypatch):
     got = ix.search(index, asked)
     assert found(got) == want and want
     assert "postings" not in got._jdf.queryExecution().toString()
+
+
+def test_an_index_is_made_without_a_shuffle_of_its_lists(spark, rows, monkeypatch):
+    monkeypatch.setattr(ix, "BLOCK_CHARS", 50)
+    index = ix.build(rows, {"both": ix.folded("title", "summary"), "one": ix.folded("title")}, sizes=(1, 2, 3))
+    lists = index._table("postings").select("grp", "gram", "block", F.explode("ids").alias("id"))
+    grams = lists.select("grp", "gram", "id").collect()
+    want = {(r.grp, r.text[i : i + n], r.id) for r in index.texts().collect() for n in (1, 2, 3) for i in range(len(r.text) - n + 1)}
+    assert set(grams) == want and len(grams) == len(want)
+    held = lists.select("grp", "block", "id").distinct().join(index.texts(), ["grp", "id"]).groupBy("block").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.countDistinct("grp").alias("groups"))
+    assert held.where("groups > 1 OR n > 1 AND chars > 50").count() == 0
+    assert index._table("postings").where("size(ids) = 0").count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 7])
+def test_lists_of_a_block(size):
+    import pyarrow as pa
+
+    for texts in ([""], ["a"], ["", "abab", "\x00\n\x00", "Đà Nẵng 😀😀", "abab ab", ""], ["".join(map(chr, range(0x4E00, 0x9000))), "漢字漢字" * 3]):
+        got = ix._lists_of(size, "g", 5, pa.array(range(10, 10 + len(texts))), texts)
+        assert set(got.column(0).to_pylist()) <= {"g"} and set(got.column(2).to_pylist()) <= {5}
+        names = got.column(1).to_pylist()
+        assert len(names) == len(set(names))
+        assert dict(zip(names, got.column(3).to_pylist())) == {t[i : i + size]: [10 + n for n, x in enumerate(texts) if t[i : i + size] in x] for t in texts for i in range(len(t) - size + 1)}
