@@ -109,3 +109,20 @@ def test_summary_run(spark, budget, force, want):
 def test_thumbnail_score(spark):
     df = spark.createDataFrame([(1080, 610), (540, 305), (0, 9), (None, 1)], "w int, h int").select(F.round(publishing.thumbnail_score("w", "h"), 6).alias("s"))
     assert [r.s for r in df.collect()] == [1.18, 0.545, None, None]
+
+
+def test_few_pages_are_held_at_a_time(spark, monkeypatch):
+    """However many pages are in a batch, the trees of PAGES of them are alive together at most."""
+    import gc
+
+    from newsflow.functions.dom import Node
+
+    monkeypatch.setattr(extraction, "PAGES", 3)
+    def alive(html):
+        gc.disable()
+        parse(html)
+        return [(sum(isinstance(o, Node) and o.parent is None for o in gc.get_objects()),)]
+
+    pages = spark.createDataFrame([(i, f"<p>{i}") for i in range(40)], "id long, html string").coalesce(1)
+    got = extraction._per_page(pages, ["id"], [F.col("html")], alive, "n int").collect()
+    assert sorted(r.id for r in got) == list(range(40)) and max(r.n for r in got) <= 3
