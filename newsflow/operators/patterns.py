@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -20,8 +21,11 @@ from pyspark.sql.types import StructType
 from ..shared import scratch
 
 BLOCK_CHARS = 1 << 20
-#: Texts of which the findings go on together.
-ROWS = 500
+#: Texts of which the findings go on together, as many as hold CHARS characters or bytes (one at least) and ROWS at most; patterns read at once.
+ROWS, CHARS, READ = 500, 1 << 18, 5000
+#: The rule of patterns without a label, and the rules of most patterns.
+PLAIN = (None, None, None)
+ONE = (PLAIN,)
 
 
 @dataclass(frozen=True)
@@ -58,16 +62,16 @@ def _automaton(path: str, block: int, size: int):
         _held = (None, None)
         files, base = fs.FileSystem.from_uri(path)
         found = [i.path for i in files.get_file_info(fs.FileSelector(f"{base}/block={block}", allow_not_found=True)) if i.path.endswith(".parquet")]
-        rows = [r for p in found for r in parquet.ParquetFile(files.open_input_file(p)).read().to_pylist()]
-        if len(rows) != size:
-            raise OSError(f"{path}: block {block} has {len(rows)} of {size} patterns")
-        made = ahocorasick.Automaton()
-        for r in rows:
-            needle, rule = r["needle"], (r["grp"], r["rank"], r["label"])
-            if needle in made:
-                made.get(needle)[2].append(rule)
-            else:
-                made.add_word(needle, (needle, len(needle), [rule]))
+        made, read = ahocorasick.Automaton(), 0
+        for p in found:
+            for batch in parquet.ParquetFile(files.open_input_file(p)).iter_batches(READ, columns=["needle", "grp", "rank", "label"]):
+                read += batch.num_rows
+                for needle, *rule in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    rule = tuple(rule) if rule != [None] * 3 else PLAIN
+                    held = made.get(needle, None)
+                    made.add_word(needle, (needle, len(needle), (*held[2], rule) if held else (rule,) if rule is not PLAIN else ONE))
+        if read != size:
+            raise OSError(f"{path}: block {block} has {read} of {size} patterns")
         made.make_automaton()
         _held = ((path, block), made)
     return _held[1]
@@ -103,6 +107,17 @@ def _labels(automaton, text: str, out: list[list]) -> int:
     return len(least) or 1
 
 
+def _slices(whole: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of which the texts in column `at` go through together."""
+    sizes = pc.fill_null(pc.binary_length(whole.column(at)), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(sizes, dtype=np.int64), 0
+    while start < whole.num_rows:
+        before = ends[start] - sizes[start]
+        n = min(ROWS, max(1, int(np.searchsorted(ends, before + CHARS, side="right")) - start))
+        yield whole.slice(start, n)
+        start += n
+
+
 def _scan(p: Patterns, texts: DataFrame, keys: list[str], text: Column | str, per_text: Callable, columns: str) -> DataFrame:
     """keys and what `per_text` finds in the text of each row, block by block. Null texts are empty."""
     added = StructType.fromDDL(columns)
@@ -122,8 +137,7 @@ def _scan(p: Patterns, texts: DataFrame, keys: list[str], text: Column | str, pe
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(path, block, size)
             for whole in batches:
-                for start in range(0, whole.num_rows, ROWS):
-                    batch = whole.slice(start, ROWS)
+                for batch in _slices(whole, len(keys)):
                     out: list[list] = [[] for _ in kinds]
                     counts = [per_text(automaton, t, out) for t in batch.column(len(keys)).to_pylist()]
                     at = np.repeat(np.arange(len(counts), dtype=np.int32), counts)

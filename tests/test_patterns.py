@@ -65,3 +65,12 @@ def test_newest_image_of_a_slug_that_many_articles_share(spark):
     images = spark.createDataFrame([(1, "x-same-y", 5), (2, "same", 9), (3, "same-", 9), (4, "other", 99), (5, None, 100)], "image_id int, stem string, mtime int")
     got = {r.id: r.image_id for r in pt.images_of(articles, images).collect()}
     assert got == {i: 3 for i in (*range(50), 93)}
+
+
+def test_long_texts_go_through_in_small_runs():
+    import pyarrow as pa
+
+    texts = ["", "x" * 200000, "y" * 300000, "é" * 100000, None, *["short"] * 1200]
+    runs = list(pt._slices(pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["k", "t"]), 1))
+    assert [k for r in runs for k in r.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(r.num_rows <= pt.ROWS and (r.num_rows == 1 or sum(len((t or "").encode()) for t in r.column(1).to_pylist()) <= pt.CHARS) for r in runs)
