@@ -5,7 +5,7 @@ a search reads the buckets of its grams. A common gram has many short lists, not
 as a task reads them, so lists are made where the texts are and nothing is shuffled.
 A search takes its rarest grams (RAREST at most), intersects their lists, and looks at the texts of the rows that are left: the
 grams say where to look, the text decides. A needle without a gram is compared with every text. Needles that would together read more than
-LISTS ids for each row of the table are looked for the other way round: they become automata (see `patterns`) that the stored texts stream past.
+LISTS ids for each row of the table are looked for the other way round: they become tables (see `patterns`) that the stored texts stream past.
 
 Ids are unique. Texts of a group are folded once, when the index is built.
 """

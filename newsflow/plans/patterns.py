@@ -21,8 +21,8 @@ FROM n JOIN documents ON needle <> '' AND contains(text, needle) GROUP BY needle
 def patterns_in_documents(v: SimpleNamespace) -> DataFrame:
     """Two words of every message in all whole documents."""
     needles = v.conversations.select(F.array_join(F.slice(F.split("text", " "), 2, 2), " ").alias("needle"))
-    found = pt.occurrences(pt.build(needles), v.documents, ["doc_id"], "text")
-    return found.groupBy("needle").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences"), F.min("first").alias("earliest"), F.min("doc_id").alias("first_id"))
+    found = pt.totals(pt.build(needles), v.documents, "doc_id", "text")
+    return found.toDF("needle", "documents", "occurrences", "earliest", "first_id")
 
 
 def _slug() -> Column:
